@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _name in ("conversations", "near_duplicates"):
+for _name in ("conversations", "near_duplicates", "overlaps"):
     _m = importlib.import_module(f"rankmill.llm.{_name}")
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
