@@ -42,6 +42,8 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _is_code(block: str) -> bool:
+    if "(" not in block and "=" not in block and "'" not in block and '"' not in block and "#" not in block and "import" not in block:
+        return False
     lines = [x for x in block.split("\n") if x.strip()]
     return bool(lines) and bool(_LINE.match(lines[0])) and not lines[0].startswith((" ", "\t")) and all(_LINE.match(x) for x in lines)
 

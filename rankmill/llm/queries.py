@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _name in ("conversations", "encodings", "leaks", "near_duplicates", "overlaps", "sentences"):
+for _name in ("conversations", "encodings", "leaks", "markup", "near_duplicates", "overlaps", "sentences"):
     _m = importlib.import_module(f"rankmill.llm.{_name}")
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
