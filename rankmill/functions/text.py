@@ -39,6 +39,20 @@ def tokenize(col: Column | str, mode: str = "code") -> Column:
     return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)), terms))
 
 
+def term_bag(col: Column | str, mode: str = "code") -> Column:
+    """The same terms as ``tokenize``, as a bag: parts first, compounds after.
+
+    The parts of all identifiers come from one match over the whole text, since
+    no part spans a separator, so nothing is done per identifier.
+    """
+    if mode != "code":
+        return tokenize(col, mode)
+    text = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+    parts = F.filter(F.regexp_extract_all(text, F.lit(PARTS), F.lit(0)), lambda t: t > ":")  # digits sort before, letters after
+    whole = F.filter(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)), lambda c: ~c.rlike("^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9._]+)$"))
+    return F.transform(F.concat(parts, whole), F.lower)
+
+
 def has_tag(tags: Column | str, *any_of: str) -> Column:
     """Whether a list of the form ``|a|b|`` holds one of the tags, whatever its case."""
     low = F.lower(F.col(tags) if isinstance(tags, str) else tags)

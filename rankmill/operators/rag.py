@@ -101,7 +101,7 @@ def route(reply: Column) -> Column:
 
 def trace(route_: Column, gate: Column, cosine: Column, n_sources: Column) -> Column:
     """What a reader is told about how an answer came about; NULL without a route."""
-    score = F.format_string("%.2f", F.round(cosine, 2))
+    score = F.format_string("%.2f", F.floor(cosine * 100 + 0.5) / 100)
     return (
         F.when(route_ == "ANSWER", "answered directly (no search needed)")
         .when((route_ == "SEARCH") & (gate == "open"), F.concat(F.lit("searched (confidence "), score, F.lit("), grounded in "), F.coalesce(n_sources, F.lit(0)).cast("string"), F.lit(" answer(s)")))

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankmill.functions.text import tokenize
+from rankmill.functions.text import term_bag, tokenize
+from rankmill.session import Scratch
 
 #: Rows up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -37,34 +38,51 @@ def top_k(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:
 
 @dataclass
 class BM25Index:
-    postings: DataFrame  # term, doc_id, weight
+    tf: DataFrame  # term, doc_id, len, tf
     terms: DataFrame  # term, df, idf
     stats: DataFrame  # n_docs, avg_len (one row)
+    k1: float
+    b: float
+
+    def postings(self) -> DataFrame:
+        """``(term, doc_id, weight)``: a term's whole weight in a document."""
+        return _weigh(self.tf.join(self.terms, "term"), self)
+
+
+def _weigh(rows: DataFrame, index: BM25Index) -> DataFrame:
+    norm = index.k1 * (1 - index.b + index.b * F.col("len") / F.col("avg_len"))
+    return rows.crossJoin(F.broadcast(index.stats)).withColumn("weight", F.col("idf") * F.col("tf") / (F.col("tf") + norm))  # one row
 
 
 def build_bm25(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, mode: str = "code") -> BM25Index:
-    """An inverted index whose postings carry the term's whole weight in the document.
+    """An inverted index; term frequencies are written once, and what else is needed follows from them.
 
     Documents without terms count in N and in the mean length.
     """
-    tokens = docs.select(F.col(id_col).alias("doc_id"), tokenize(text_col, mode).alias("terms")).withColumn("len", F.size("terms"))
-    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = tokens.select("doc_id", "len", F.explode("terms").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
+    scratch = Scratch(docs.sparkSession, "bm25")
+    tokens = docs.select(F.col(id_col).alias("doc_id"), term_bag(text_col, mode).alias("terms"))
+    one = tokens.select("doc_id", F.size("terms").alias("len"), F.explode_outer("terms").alias("term"))
+    tf = scratch.write(one.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")))
+    # a document without terms has one row with a NULL term
+    stats = tf.groupBy("doc_id").agg(F.max("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    stats = scratch.write(stats)
+    tf = tf.filter("term is not null")
     terms = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
-    terms = terms.select("term", "df", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    norm = k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    weighted = tf.join(terms, "term").crossJoin(F.broadcast(stats))  # one row
-    return BM25Index(weighted.select("term", "doc_id", (F.col("idf") * F.col("tf") / (F.col("tf") + norm)).alias("weight")), terms, stats)
+    return BM25Index(tf, terms.select("term", "df", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), stats, k1, b)
 
 
 def search_bm25(index: BM25Index, queries: DataFrame, k: int = 100, mode: str = "code") -> DataFrame:
     """Ranked documents for ``queries(query_id, query_text)``; only documents with a matching term come out.
 
-    A term that a query repeats counts as often.
+    A term that a query repeats counts as often.  Postings meet the queries'
+    terms first, so weights are computed for those terms alone.
     """
-    q = queries.select("query_id", F.explode(tokenize("query_text", mode)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hits = index.postings.join(small(q), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
-    return top_k(hits, k)
+    q = queries.select("query_id", F.explode(term_bag("query_text", mode)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    q = small(Scratch(queries.sparkSession, "terms").write(q))
+    wanted = q.select("term").distinct()
+    terms = index.terms.join(wanted, "term", "left_semi")
+    hits = _weigh(index.tf.join(small(terms), "term").join(q, "term"), index)
+    return top_k(hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("weight")).alias("score")), k)
 
 
 # --- dense ---

@@ -215,7 +215,7 @@ def conversation_labels(spark, d):
 
 @query(f"with {_DOCS_SQL} select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({_tok('text')}) as term from docs) group by term")
 def tokenize_docs(spark, d):
-    t = _docs(spark, d).select("doc_id", F.explode(tx.tokenize("text")).alias("term"))
+    t = _docs(spark, d).select("doc_id", F.explode(tx.term_bag("text")).alias("term"))
     return t.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
@@ -468,8 +468,8 @@ def generate_stub(spark, d):
     return rag.generate(prompts, lambda p: f"{len(p)} characters read")
 
 
-@query("""select distinct id, case when route = 'ANSWER' then 'answered directly (no search needed)' when route = 'SEARCH' and gate = 'open' then 'searched (confidence ' || printf('%.2f', round(top_cosine, 2)) || '), grounded in ' || coalesce(json_array_length(sources_json), 0) || ' answer(s)'
-when route = 'SEARCH' then 'searched, low confidence (' || printf('%.2f', round(top_cosine, 2)) || '), answered without sources' end as trace from messages where role = 'assistant'""")
+@query("""select distinct id, case when route = 'ANSWER' then 'answered directly (no search needed)' when route = 'SEARCH' and gate = 'open' then 'searched (confidence ' || printf('%.2f', floor(top_cosine * 100 + 0.5) / 100) || '), grounded in ' || coalesce(json_array_length(sources_json), 0) || ' answer(s)'
+when route = 'SEARCH' then 'searched, low confidence (' || printf('%.2f', floor(top_cosine * 100 + 0.5) / 100) || '), answered without sources' end as trace from messages where role = 'assistant'""")
 def trace_badges(spark, d):
     m = load(spark, d, "messages").filter("role = 'assistant'")
     return m.select("id", rag.trace(F.col("route"), F.col("gate"), F.col("top_cosine"), F.json_array_length("sources_json")).alias("trace")).distinct()
