@@ -323,14 +323,17 @@ def find_defects(generations: DataFrame, labelled: DataFrame, s: Settings | None
     found = rows.mapInPandas(run, "row_id long, query_id long, defect string, tail array<string>, own int").persist()
     counts = _end_counts(rows.select("claims_json"))
     asked = found.filter("defect = '?'").select("row_id", "query_id", "own", F.posexplode("tail").alias("order", "key"))
-    known = asked.join(counts, "key", "left")
+    # a last word seen nowhere tells nothing, unless some other word begins with it
+    words = counts.filter("key rlike '^[^ \\\\^]{2,}$'").select("key")
+    begun = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda n: F.substring(F.col("key"), F.lit(1), n))).alias("key")).distinct().withColumn("begun", F.lit(True))
+    known = asked.join(counts, "key", "left").join(begun, "key", "left")
     # a text's own occurrence is taken out of the counts
     n, e = F.greatest(F.coalesce("n", F.lit(0)) - F.col("own"), F.lit(0)), F.greatest(F.coalesce("ends", F.lit(0)) - F.col("own"), F.lit(0))
-    wide = known.groupBy("row_id", "query_id", "own").agg(*[F.max(F.when(F.col("order") == k, v)).alias(f"{c}{k + 1}") for k in range(3) for c, v in (("n", n), ("e", e))])
+    wide = known.groupBy("row_id", "query_id", "own").agg(*[F.max(F.when(F.col("order") == k, v)).alias(f"{c}{k + 1}") for k in range(3) for c, v in (("n", n), ("e", e))], F.max(F.when(F.col("order") == 0, F.coalesce("begun", F.lit(False)))).alias("begun"))
     p1 = (F.col("e1") + 0.02) / (F.col("n1") + 1.0)
     p2 = (F.col("e2") + 2 * p1) / (F.col("n2") + 2.0)
     p3 = (F.col("e3") + 2 * p2) / (F.col("n3") + 2.0)
-    cut = wide.filter(p3 < s.ends).select("query_id", F.lit("truncated").alias("defect"))
+    cut = wide.filter((p3 < s.ends) & ((F.col("n1") > 0) | F.col("begun"))).select("query_id", F.lit("truncated").alias("defect"))
     return found.filter("defect <> '?'").select("query_id", "defect").unionByName(cut).distinct()
 
 

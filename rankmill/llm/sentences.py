@@ -227,7 +227,8 @@ def _is_end(p: str, m: re.Match, lang: str, model: Model, unit: int) -> bool:
 def units(text: str | None, model: Model) -> list[tuple[int, int]]:
     """Sentence units as offsets, without outer white space."""
     out: list[tuple[int, int]] = []
-    for a, b in paragraphs(text or ""):
+    text = text or ""
+    for a, b in paragraphs(text):
         p = text[a:b]
         if not p.strip():
             continue
@@ -319,7 +320,7 @@ def _common_words(texts: DataFrame, top: int) -> dict[str, dict[str, float]]:
     out: dict[str, dict[str, float]] = {}
     for r in ranked.select("lang", "type", "n", "total").collect():  # at most ``top`` words of each two-letter language
         out.setdefault(r["lang"], {})[r["type"]] = math.log(r["n"] / r["total"])
-    return {k: v for k, v in out.items() if len(v) == top or len(v) > 50}
+    return out
 
 
 def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter: float = 30.0, evidence: float = 0.02) -> Model:
