@@ -323,7 +323,7 @@ def _common_words(texts: DataFrame, top: int) -> dict[str, dict[str, float]]:
     return out
 
 
-def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter: float = 30.0, evidence: float = 0.02) -> Model:
+def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter: float = 30.0, evidence: float = 0.3) -> Model:
     """A model from ``texts(text, lang)``; thresholds are those of the published method."""
     model = Model(common=_common_words(texts, top))
 
