@@ -544,3 +544,44 @@ def table_schema(spark, d):
 @query()
 def table_files(spark, d):
     return file_manifest(spark, d).groupBy().agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
+
+
+# --- routing, judging ---
+
+
+def _even(text: str) -> str:
+    return "search" if len(text) % 2 == 0 else "answer"
+
+
+@query(f"""{_ONE}, g as (select query_id, max(score) as top from code group by query_id), n as (select query_id, count(*) as n from code where rank <= 4 group by query_id)
+select query_id, case when length(query_text) % 2 = 0 then 'SEARCH' else 'ANSWER' end as route, case when length(query_text) % 2 = 0 then case when top >= 20 then 'open' else 'closed' end end as gate,
+case when length(query_text) % 2 = 0 then top end as top_score, length(query_text) % 2 = 0 and coalesce(top, 0) >= 20 as used_docs, cast(case when length(query_text) % 2 = 0 and top >= 20 then n else 0 end as int) as n_sources from val left join g using (query_id) left join n using (query_id)""")
+def adaptive_flow(spark, d):
+    """Router, gate and generator with stubs in place of models; the gate is on lexical scores here."""
+    from rankmill.operators.adaptive import adaptive_answers
+    from rankmill.session import Scratch
+
+    ranked = Scratch(spark, "flow").write(_bm25(spark, d))
+    out = adaptive_answers(_val(spark, d), _even, lambda p: f"{len(p)} characters read", ranked, ranked, load(spark, d, "corpus"), 20.0)
+    return out.select("query_id", "route", "gate", "top_score", "used_docs", "n_sources")
+
+
+@query()
+def judge_stub(spark, d):
+    """Claims judged against their references by a deterministic stub."""
+    from rankmill.operators.adaptive import judge
+    from rankmill.session import Scratch
+
+    g = load(spark, d, "rag_generations").filter("query_id is not null").select("query_id", "bucket", "claims_json").distinct()
+    claims = rag.claim_rows(g, 4)
+    queries = load(spark, d, "rag_generations").filter("query_id is not null").groupBy("query_id").agg(F.min("query_text").alias("query_text"))
+    ranked = Scratch(spark, "judge").write(_bm25(spark, d, queries=queries)).filter("rank <= 4")
+    sources = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("top_k_doc_ids"))
+    return judge(claims, sources, load(spark, d, "corpus"), lambda p: "VERDICT: " + ("YES", "PARTIAL", "NO")[len(p) % 3]).select("query_id", "claim_idx", "label")
+
+
+@query("select distinct query_id from rag_generations where query_id is not null and query_id not in (select query_id from splits)")
+def unmatched_queries(spark, d):
+    from rankmill.operators.adaptive import unmatched
+
+    return unmatched(load(spark, d, "rag_generations").filter("query_id is not null"), load(spark, d, "splits"), "query_id")

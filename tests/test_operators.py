@@ -167,3 +167,23 @@ def test_resume(spark, tmp_path):
         process_new_files(spark, src, items.schema, out, ck, work, "id").awaitTermination()
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
     assert resume(items, items.filter("id = 1"), "id", work).count() == 1
+
+
+def test_adaptive(spark):
+    from rankmill.operators import adaptive
+
+    q = spark.createDataFrame([(1, "find it"), (2, "find"), (3, "hello"), (4, None)], "query_id long, query_text string")
+    ranked = spark.createDataFrame([(1, 7, 0.9, 1), (2, 7, 0.5, 1)], LIST)
+    corpus = spark.createDataFrame([(7, "T", "B")], "doc_id long, title string, answer_body string")
+    rows = {r["query_id"]: r for r in adaptive.adaptive_answers(q, lambda t: "SEARCH" if "find" in t else "no", lambda p: p[:8], ranked, ranked, corpus).collect()}
+    assert [(rows[i]["route"], rows[i]["gate"], rows[i]["n_sources"]) for i in (1, 2, 3, 4)] == [("SEARCH", "open", 1), ("SEARCH", "closed", 0), ("ANSWER", None, 0), ("ANSWER", None, 0)]
+    assert rows[1]["trace"] == "searched (confidence 0.90), grounded in 1 answer(s)"
+    claims = spark.createDataFrame([(1, "b", 1, "c", [1, 9], False)], "query_id long, bucket string, claim_idx int, claim string, cited_refs array<int>, uncited boolean")
+    src = spark.createDataFrame([(1, [7])], "query_id long, top_k_doc_ids array<long>")
+    assert "[1] T\n\nB\n\n[9] ?" in adaptive.judge_prompts(claims, src, corpus).first()["prompt"]
+    assert adaptive.judge(claims, src, corpus, lambda p: "VERDICT: partial").first()["label"] == "partial"
+    with pytest.raises(ValueError, match="2 values"):
+        adaptive.require_matched(q, ranked.filter("query_id = 1").unionByName(ranked.filter("query_id = 2")), "query_id", "ranking")
+    both = adaptive.compare_answers(spark.createDataFrame([("p",)], "prompt string"), str.upper, str.lower).first()
+    assert (both["answer_before"], both["answer_after"]) == ("P", "p")
+    assert adaptive.generate_with(spark.createDataFrame([("p",)], "prompt string"), lambda: str.upper).first()["reply"] == "P"
