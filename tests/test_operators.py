@@ -187,3 +187,30 @@ def test_adaptive(spark):
     both = adaptive.compare_answers(spark.createDataFrame([("p",)], "prompt string"), str.upper, str.lower).first()
     assert (both["answer_before"], both["answer_after"]) == ("P", "p")
     assert adaptive.generate_with(spark.createDataFrame([("p",)], "prompt string"), lambda: str.upper).first()["reply"] == "P"
+
+
+def test_bm25_prunes_exactly(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    pick = lambda n: " ".join(words[min(59, int(rng.expovariate(0.08)))] for _ in range(n))
+    docs, queries = [(i, pick(rng.randint(0, 30))) for i in range(400)], [(i, pick(rng.randint(1, 7))) for i in range(30)]
+    terms = {i: Counter(t.split()) for i, t in docs}
+    avg = sum(sum(c.values()) for c in terms.values()) / len(docs)
+    df = Counter(w for c in terms.values() for w in c)
+    want = set()
+    for qid, text in queries:
+        s = {}
+        for w, n in Counter(text.split()).items():
+            idf = math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5))
+            for i, c in terms.items():
+                if c[w]:
+                    s[i] = s.get(i, 0) + n * idf * c[w] / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / avg))
+        want |= {(qid, i) for i, _ in sorted(s.items(), key=lambda x: (-round(x[1], 6), x[0]))[:7]}
+    index = retrieval.build_bm25(spark.createDataFrame(docs, "doc_id long, text string"))
+    frame = spark.createDataFrame(queries, "query_id long, query_text string")
+    for seeds in (1, 3):
+        assert {(r["query_id"], r["doc_id"]) for r in retrieval.search_bm25(index, frame, 7, seeds=seeds).collect()} == want
