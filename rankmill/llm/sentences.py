@@ -56,6 +56,13 @@ _ITEM = re.compile(r"[^\S\n]*(?:([-*•–+·▪◦])|\(?(\d{1,3}|[a-z])[.)])[^\
 _TOKEN = re.compile(r"[^\s]+")
 _IDENT = re.compile(r"[_\d]|[a-zа-я][A-ZА-Я]|[A-Z][a-z]+[A-Z]")
 _ALPHA = re.compile(r"[^\W\d_]+(?:[.'’][^\W\d_]+)*")
+_LATIN = re.compile(r"[A-Za-zÀ-ɏ_]\w*")
+_VISIBLE = re.compile(r"\S")
+_WORDY = re.compile(r"\w")
+_CORE = re.compile(r"[\w.]*\w")
+_FILE = re.compile(r"\w+\.\w{2,4}\b")
+_NUMBER = re.compile(r"[\d.,:]+")
+_ITEM_HEAD = re.compile(r"\(?\d{1,3}")
 _SCRIPTS = ((0x0400, 0x052F, "cyrl"), (0x0600, 0x06FF, "arab"), (0x0900, 0x097F, "deva"), (0x0E00, 0x0E7F, "thai"), (0x3040, 0x30FF, "jpan"), (0x4E00, 0x9FFF, "hani"), (0xAC00, 0xD7AF, "hang"))
 _NOT_LATIN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in _SCRIPTS) + "]")
 
@@ -66,6 +73,17 @@ class Model:
     abbreviations: dict[str, set[str]] = field(default_factory=dict)  # language -> types without the last period
     starters: dict[str, set[str]] = field(default_factory=dict)  # language -> capitalised words
     bound: dict[str, set[tuple[str, str]]] = field(default_factory=dict)  # language -> (type, next word) that go together across a period
+    _votes: tuple | None = None
+
+    def votes(self) -> tuple[list[str], dict[str, list[tuple[int, float]]]]:
+        """The languages, and per frequent word how much it speaks for each of them beyond a word unknown to all."""
+        if self._votes is None:
+            names, words = list(self.common), {}
+            for i, lang in enumerate(names):
+                for w, p in self.common[lang].items():
+                    words.setdefault(w, []).append((i, p + 12.0))
+            self._votes = names, words
+        return self._votes
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -78,20 +96,22 @@ def paragraphs(text: str) -> Iterator[tuple[int, int]]:
 
 
 def language(text: str, model: Model) -> str:
-    other = _NOT_LATIN.findall(text)
-    latin = sum(not _IDENT.search(w) for w in re.findall(r"[A-Za-zÀ-ɏ_][\w]*", text))
-    if len(other) > 3 * latin:
-        seen = Counter(name for a, b, name in _SCRIPTS for c in other if a <= ord(c) <= b)
-        if seen["jpan"]:
-            return "jpan"
-        return seen.most_common(1)[0][0]
-    best, score = "latn", -math.inf
-    tokens = [w for w in _ALPHA.findall(text.lower())]
-    for lang, p in model.common.items():
-        s = sum(p.get(w, -12.0) for w in tokens)
-        if s > score:
-            best, score = lang, s
-    return best
+    """A paragraph's language, or its script where that isn't Latin."""
+    if not text.isascii():
+        other = _NOT_LATIN.findall(text)
+        if other and len(other) > 3 * sum(not _IDENT.search(w) for w in _LATIN.findall(text)):
+            seen = Counter(name for c, n in Counter(other).items() for a, b, name in _SCRIPTS if a <= ord(c) <= b for _ in range(n))
+            return "jpan" if seen["jpan"] else seen.most_common(1)[0][0]
+    names, votes = model.votes()
+    if not names:
+        return "latn"
+    total = [0.0] * len(names)
+    for w in _ALPHA.findall(text.lower()):
+        v = votes.get(w)
+        if v:
+            for i, x in v:
+                total[i] += x
+    return names[max(range(len(names)), key=total.__getitem__)]
 
 
 def _kind(token: str) -> str:
@@ -99,11 +119,11 @@ def _kind(token: str) -> str:
     t = token.lstrip(OPENERS + "-–—")
     if not t:
         return "none"
-    core = re.match(r"[\w.]*\w", t)
+    core = _CORE.match(t)
     w = core.group(0) if core else t
     if t[0].isdigit():
         return "number"
-    if _IDENT.search(w) or re.match(r"\w+\.\w{2,4}\b", t):
+    if _IDENT.search(w) or _FILE.match(t):
         return "name"
     if not (t[0].isalnum()):
         return "none"
@@ -192,7 +212,7 @@ def _is_end(p: str, m: re.Match, lang: str, model: Model, unit: int) -> bool:
     starters = model.starters.get(lang, ())
     if not spaced:
         w = _word(token)
-        known = w in starters and token.startswith(w) and len(w) > 1 and not re.match(r"[\w.(]", token[len(w) : len(w) + 1] or " ")
+        known = w in starters and token.startswith(w) and len(w) > 1 and not (token[len(w) : len(w) + 1] in (".", "(", "_") or token[len(w) : len(w) + 1].isalnum())
         if closed or mark in (".", "...", "…") and len(mark) != 1:
             return False
         if mark == ".":
@@ -201,7 +221,7 @@ def _is_end(p: str, m: re.Match, lang: str, model: Model, unit: int) -> bool:
         return kind == "upper" and known
     if kind == "lower":  # goes on, but for text in lower case throughout
         prior = _before(p, unit, m.start())
-        if mark != "." or closed or re.fullmatch(r"[\d.,:]*", prior) or prior.lower() in model.abbreviations.get(lang, ()):
+        if mark != "." or closed or (not prior or _NUMBER.fullmatch(prior)) or prior.lower() in model.abbreviations.get(lang, ()):
             return False
         first = _TOKEN.search(p, unit)
         return _word(token).capitalize() in starters or bool(first) and _kind(first.group(0)) == "lower"
@@ -213,7 +233,7 @@ def _is_end(p: str, m: re.Match, lang: str, model: Model, unit: int) -> bool:
     prior = _before(p, unit, m.start())
     if closed:
         return True
-    kind_before = "number" if re.fullmatch(r"[\d.,:]+", prior) else "word"
+    kind_before = "number" if _NUMBER.fullmatch(prior) else "word"
     low = prior.lower()
     if kind_before == "number":
         w = _word(token)
@@ -237,9 +257,10 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
         cuts, items = [], _items(p)
         cand = list(_CAND.finditer(p))
         if lang == "thai":
-            cand += [m for m in re.finditer(r"(?<=[฀-๿])(?=\s)", p) if p[: m.start()].endswith(THAI_ENDS)]
+            cand += [m for m in re.finditer(r"(?<=[฀-๿])(?=\s)", p) if p.endswith(THAI_ENDS, 0, m.start())]
             cand.sort(key=lambda m: m.start())
-        unit, k, heads = 0, 0, {_ITEM.match(p, i).end(): i for i in items}
+        solid = len(p.rstrip(" \t\r\n.… "))  # nothing but blanks and dots beyond
+        unit, k, heads = 0, 0, {i: _ITEM.match(p, i).end() for i in items}
         breaks = iter(items + [len(p) + 1])
         item = next(breaks)
         for m in cand:
@@ -252,15 +273,14 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
                 k += 1
             if k < len(inside) and inside[k][0] < m.start() and inside[k][1] >= m.end():
                 continue
-            if any(i <= m.start() < e for e, i in heads.items()):  # the mark of an item's number
+            if heads and m.start() < heads.get(unit, 0):  # the mark of an item's number
                 continue
-            head = p[unit : m.start()].strip()
-            if m.group(0) and not any(c.isalnum() for c in head):
+            if m.group(0) and not _WORDY.search(p, unit, m.start()):
                 continue
-            if re.fullmatch(r"\(?\d{1,3}", head) and m.group(0) == "." and unit == 0:  # a heading's number
+            if unit == 0 and m.group(0) == "." and _ITEM_HEAD.fullmatch(p[: m.start()].strip()):  # a heading's number
                 continue
-            if not m.group(0) or _is_end(p, m, lang, model, unit + len(p[unit:]) - len(p[unit:].lstrip())):
-                if p[m.end() :].strip(" \t\r\n.… ") == "" and m.end() < len(p):
+            if not m.group(0) or _is_end(p, m, lang, model, _VISIBLE.search(p, unit).start()):
+                if solid <= m.end() < len(p):
                     continue
                 cuts.append(m.end())
                 unit = m.end()
@@ -279,24 +299,25 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
 # --- learning ---
 
 
-def _flush(c: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(*k, n) for k, n in c.items()], columns=["lang", "kind", "type", "next", "n"])
+_COUNTS = "lang string, kind string, type string, next string, n long"
 
 
-_COUNTS = "lang string, kind string, type string, next string, n long"
+def _counted(texts: DataFrame, count, digest=dict, most: int = 300_000) -> DataFrame:
+    """Sums of what ``count`` adds up row by row and ``digest`` makes of it, now and then and at the end of a task."""
 
+    def flush(c: Counter) -> pd.DataFrame:
+        return pd.DataFrame([(*k, n) for k, n in digest(c).items()], columns=["lang", "kind", "type", "next", "n"])
 
-def _counted(texts: DataFrame, count) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 if row.text:
                     count(c, row)
-                if len(c) > 300_000:
-                    yield _flush(c)
+                if len(c) > most:
+                    yield flush(c)
                     c = Counter()
-        yield _flush(c)
+        yield flush(c)
 
     return texts.mapInPandas(run, _COUNTS).groupBy("lang", "kind", "type", "next").agg(F.sum("n").alias("n"))
 
@@ -305,11 +326,10 @@ def _common_words(texts: DataFrame, top: int) -> dict[str, dict[str, float]]:
     def count(c: Counter, row) -> None:
         lang = (row.lang or "").strip().lower()
         if len(lang) == 2 and lang.isalpha():
-            latin = len(re.findall(r"[A-Za-zÀ-ɏ_][\w]*", row.text)) > len(_NOT_LATIN.findall(row.text)) / 3
+            latin = row.text.isascii() or len(_LATIN.findall(row.text)) > len(_NOT_LATIN.findall(row.text)) / 3
             c[lang, "text", "latin" if latin else "other", ""] += 1
-            for w in _ALPHA.findall(row.text.lower()):
-                if latin and (w.isascii() or not _NOT_LATIN.search(w)):
-                    c[lang, "w", w, ""] += 1
+            if latin:
+                c.update((lang, "w", w, "") for w in _ALPHA.findall(row.text.lower()))
 
     counted = _counted(texts, count)
     # a label counts as a language of Latin script if most of its texts are
@@ -329,42 +349,50 @@ def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter:
 
     def count(c: Counter, row) -> None:
         for a, b in paragraphs(row.text):
-            p = row.text[a:b]
-            if not p.strip():
+            tokens = row.text[a:b].split()
+            if not tokens:
                 continue
-            lang = language(p, model)
+            lang = language(row.text[a:b], model)
             if lang in ("thai", "jpan", "hani"):
                 continue
-            tokens = p.split()
-            for i, t in enumerate(tokens):
-                core = t.strip(OPENERS + CLOSERS + ",;:")
-                word = core.rstrip(".!?…")
-                after = t[t.find(core) + len(word) :] if core else ""
-                if i == 0 and core and not _IDENT.search(core) and core[:1].isupper():
-                    c[lang, "start", _word(core), ""] += 1
-                if core[:1].isupper() and not _IDENT.search(word):
-                    c[lang, "any", _word(core), ""] += 1
-                if re.fullmatch(r"[\d.,:]*\d", word) and after == "." and i + 1 < len(tokens) and _kind(tokens[i + 1]) == "upper":
-                    c[lang, "pair", "0", _word(tokens[i + 1])] += 1
-                if not word or not _ALPHA.fullmatch(word) or _IDENT.search(word):
-                    continue
-                low = word.lower()
-                if low == word.upper():  # scripts without case abbreviate otherwise
-                    continue
-                if core.endswith(".") and not core.endswith("..") and after[:1] == ".":
-                    c[lang, "with", low, ""] += 1
-                    if after[1:2] in (",", ";"):
-                        c[lang, "goes", low, ""] += 1
-                    elif after == "." and i + 1 < len(tokens):
-                        kind = _kind(tokens[i + 1])
-                        if kind in ("lower", "number", "name"):
-                            c[lang, "goes", low, ""] += 1
-                        elif kind == "upper":
-                            c[lang, "pair", low, _word(tokens[i + 1])] += 1
-                else:
-                    c[lang, "without", low, ""] += 1
-
-    counts = _counted(texts, count).persist()
+            c.update((lang, "token", t, "") for t in tokens)
+            c[lang, "head", tokens[0], ""] += 1
+            c.update((lang, "follow", t, n) for t, n in zip(tokens, tokens[1:], strict=False) if t[-1] == ".")
+
+    def digest(c: Counter) -> Counter:
+        """Types out of tokens: each different token is looked at once."""
+        out: Counter = Counter()
+        for (lang, kind, t, nxt), n in c.items():
+            core = t.strip(OPENERS + CLOSERS + ",;:")
+            word = core.rstrip(".!?…")
+            after = t[t.find(core) + len(word) :] if core else ""
+            if kind == "head":
+                if core[:1].isupper() and not _IDENT.search(core):
+                    out[lang, "start", _word(core), ""] += n
+                continue
+            if kind == "token" and core[:1].isupper() and not _IDENT.search(word):
+                out[lang, "any", _word(core), ""] += n
+            if kind == "follow" and after == "." and word and word[-1].isdigit() and _NUMBER.fullmatch(word) and _kind(nxt) == "upper":
+                out[lang, "pair", "0", _word(nxt)] += n
+            if not word or not _ALPHA.fullmatch(word) or _IDENT.search(word):
+                continue
+            low = word.lower()
+            if low == word.upper():  # scripts without case abbreviate otherwise
+                continue
+            period = core.endswith(".") and not core.endswith("..") and after[:1] == "."
+            if kind == "token":
+                out[lang, "with" if period else "without", low, ""] += n
+                if period and after[1:2] in (",", ";"):
+                    out[lang, "goes", low, ""] += n
+            elif period and after == ".":
+                following = _kind(nxt)
+                if following in ("lower", "number", "name"):
+                    out[lang, "goes", low, ""] += n
+                elif following == "upper":
+                    out[lang, "pair", low, _word(nxt)] += n
+        return out
+
+    counts = _counted(texts, count, digest).persist()
     total = counts.filter("kind in ('with', 'without')").groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("kind") == "with", F.col("n")).otherwise(0)).alias("periods"))
     caps = counts.filter("kind in ('start', 'any')").groupBy("lang").agg(F.sum(F.when(F.col("kind") == "any", F.col("n")).otherwise(0)).alias("caps"), F.sum(F.when(F.col("kind") == "start", F.col("n")).otherwise(0)).alias("starts"))
 
