@@ -71,40 +71,44 @@ def build_bm25(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return BM25Index(tf, terms.select("term", "df", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), stats, k1, b)
 
 
-def search_bm25(index: BM25Index, queries: DataFrame, k: int = 100, mode: str = "code", seeds: int = 3) -> DataFrame:
+def search_bm25(index: BM25Index, queries: DataFrame, k: int = 100, mode: str = "code", seeds: int = 3, direct: int = 20_000_000) -> DataFrame:
     """Ranked documents for ``queries(query_id, query_text)``; only documents with a matching term come out.
 
-    A term that a query repeats counts as often.  The search is exact but does
-    not score every document with a common word: the ``seeds`` weightiest terms
-    of a query give the k-th best score that is certainly reached.  Terms whose
-    greatest weights together stay below it cannot lift a document into the
-    result alone, so only documents with one of the other terms are candidates,
-    and the light terms are looked up for the candidates that can still reach it.
+    A term that a query repeats counts as often.  While queries and postings
+    make at most ``direct`` pairs, all are scored.  Beyond, the same result comes
+    from fewer: the ``seeds`` weightiest terms of a query give the k-th best
+    score that is certainly reached.  Terms whose greatest weights together stay
+    below it cannot lift a document into the result alone, so only documents
+    with one of the other terms are candidates, and the light terms are looked
+    up for the candidates that can still reach it.
     """
     scratch = Scratch(queries.sparkSession, "search")
     q = queries.select("query_id", F.explode(term_bag("query_text", mode)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     q = scratch.write(q)
-    wanted = index.terms.join(small(q.select("term").distinct()), "term", "left_semi")
-    postings = _weigh(index.tf.join(small(scratch.write(wanted)), "term"), index).select("term", "doc_id", "weight")
+    few = q.count() <= BROADCAST_ROWS
+    side = F.broadcast if few else (lambda df: df)  # every table below marked so has at most the rows of q
+    wanted = index.terms.join(side(q.select("term").distinct()), "term", "left_semi")
+    postings = _weigh(index.tf.join(side(wanted), "term"), index).select("term", "doc_id", "weight")
+
+    def scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
+        hits = postings.join(side(terms.select("query_id", "term", "times")), "term")
+        return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
+
+    if (wanted.join(q, "term").agg(F.sum("df")).first()[0] or 0) <= direct:
+        return top_k(scores(postings, q), k)
     postings = scratch.write(postings)
     most = postings.groupBy("term").agg(F.max("weight").alias("most"))
     ordered = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
     bounded = q.join(most, "term").withColumn("bound", F.col("times") * F.col("most")).withColumn("nth", F.row_number().over(ordered))
     # what this term and all lighter ones of the query can add at most
     q = scratch.write(bounded.withColumn("rest", F.sum("bound").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
-
-    def scores(terms: DataFrame) -> DataFrame:
-        hits = postings.join(small(terms.select("query_id", "term", "times")), "term")
-        return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
-
-    sure = top_k(scores(q.filter(F.col("nth") <= seeds)), k).filter(F.col("rank") == k).select("query_id", (F.col("score") - 1e-5).alias("reached"))
+    sure = top_k(scores(postings, q.filter(F.col("nth") <= seeds)), k).filter(F.col("rank") == k).select("query_id", (F.col("score") - 1e-5).alias("reached"))
     q = scratch.write(q.join(sure, "query_id", "left").withColumn("light", F.coalesce(F.col("rest") < F.col("reached"), F.lit(False))))
     light = q.filter("light")
     spare = light.groupBy("query_id").agg(F.sum("bound").alias("spare"), F.max("reached").alias("reached"))
-    heavy = scores(q.filter("not light")).join(small(spare), "query_id", "left")
-    heavy = heavy.filter(F.col("spare").isNull() | (F.col("score") + F.col("spare") >= F.col("reached"))).select("query_id", "doc_id", "score")
-    heavy = scratch.write(heavy)
-    added = heavy.select("query_id", "doc_id").join(small(light.select("query_id", "term", "times")), "query_id").join(postings, ["term", "doc_id"])
+    heavy = scores(postings, q.filter("not light")).join(side(spare), "query_id", "left")
+    heavy = scratch.write(heavy.filter(F.col("spare").isNull() | (F.col("score") + F.col("spare") >= F.col("reached"))).select("query_id", "doc_id", "score"))
+    added = heavy.select("query_id", "doc_id").join(side(light.select("query_id", "term", "times")), "query_id").join(postings, ["term", "doc_id"])
     added = added.select("query_id", "doc_id", (F.col("times") * F.col("weight")).alias("score"))
     return top_k(heavy.unionByName(added).groupBy("query_id", "doc_id").agg(F.sum("score").alias("score")), k)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rankmill.functions import text as tx
 from rankmill.functions.html_text import clean_html
 from rankmill.operators import etl, history, ltr, metrics, rag, retrieval
+from rankmill.session import parallelism, spread
 from rankmill.sources.tables import corpus_text, describe, file_manifest, load
 
 QUERIES: dict = {}
@@ -33,7 +34,8 @@ def query(sql: str | None = None):
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     """One row per document: repeated rows of the index snapshot count once."""
-    return load(spark, d, "corpus").groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = load(spark, d, "corpus").select("doc_id", "text").repartition(parallelism(spark), "doc_id")  # one shuffle serves the grouping; what follows stays spread
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def _search_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -192,7 +194,7 @@ def split_report(spark, d):
 
 @query()
 def html_clean(spark, d):
-    return load(spark, d, "answers").select("id", clean_html("body").alias("body_clean"))
+    return spread(load(spark, d, "answers").select("id", "body")).select("id", clean_html("body").alias("body_clean"))
 
 
 @query()

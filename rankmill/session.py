@@ -70,3 +70,13 @@ class Scratch:
 def parallelism(spark: SparkSession) -> int:
     """Tasks that can be used at once, or the session's shuffle width if larger."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism, 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over more tasks, if it comes in far fewer partitions than can work at once (one small file, say).
+
+    Meant for scans before work that is heavy on the CPU; a scan that has enough
+    partitions stays as it is, so large inputs are never shuffled for it.
+    """
+    n = parallelism(df.sparkSession)
+    return df.repartition(n) if 2 * df.rdd.getNumPartitions() <= n else df

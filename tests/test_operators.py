@@ -212,5 +212,5 @@ def test_bm25_prunes_exactly(spark):
         want |= {(qid, i) for i, _ in sorted(s.items(), key=lambda x: (-round(x[1], 6), x[0]))[:7]}
     index = retrieval.build_bm25(spark.createDataFrame(docs, "doc_id long, text string"))
     frame = spark.createDataFrame(queries, "query_id long, query_text string")
-    for seeds in (1, 3):
-        assert {(r["query_id"], r["doc_id"]) for r in retrieval.search_bm25(index, frame, 7, seeds=seeds).collect()} == want
+    for seeds, direct in ((1, 0), (3, 0), (3, 10**9)):
+        assert {(r["query_id"], r["doc_id"]) for r in retrieval.search_bm25(index, frame, 7, seeds=seeds, direct=direct).collect()} == want
