@@ -207,6 +207,20 @@ def test_pointers(spark):
     assert {got[100][2], got[101][2]} == {"orphan"} and {got[i][2] for i in (200, 201, 202, 300)} == {"cycle"}
 
 
+@pytest.mark.parametrize("n", [10, 600])
+def test_pointers_single_chain(spark, n):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(n)], "id long, parent long")
+    got = {r["id"]: (r["root"], r["depth"], r["status"]) for r in conversations.resolve_pointers(nodes, Scratch(spark, "test")).collect()}
+    assert got == {i: (0, i, "ok") for i in range(n)}
+
+
+def test_longest_conversations_stay(spark):
+    rows = [(c * 100 + k, c, ("user", "assistant")[k % 2], "x", 1000.0 + 10 * k) for c, turns in enumerate([4] * 200 + [12] * 3 + [18] * 2) for k in range(turns)]
+    df = spark.createDataFrame(rows, "id long, conversation_id long, role string, content string, created_at double")
+    got = conversations.rebuild_conversations(df, spark.range(205))
+    assert {(r["conversation_id"], r["turn_no"], r["message_id"]) for r in got.collect()} == {(c, i % 100 + 1, i) for i, c, *_ in rows}
+
+
 # --- 3: pairs ---
 
 
