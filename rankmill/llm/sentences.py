@@ -343,7 +343,7 @@ def _common_words(texts: DataFrame, top: int) -> dict[str, dict[str, float]]:
     return out
 
 
-def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter: float = 30.0, evidence: float = 0.3) -> Model:
+def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter: float = 30.0, evidence: float = 0.3, collocation: float = 7.88) -> Model:
     """A model from ``texts(text, lang)``; thresholds are those of the published method."""
     model = Model(common=_common_words(texts, top))
 
@@ -416,15 +416,23 @@ def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter:
     n = F.col("k") + F.col("o")
     bond = -2 * (part(F.col("k"), n, clamp(F.col("periods") / F.col("tokens"))) - part(F.col("k"), n, F.lit(0.99)))
     scored = a.withColumn("score", bond * F.exp(-letters) * dots * F.pow(letters, -F.col("o") / F.greatest(F.col("k") * 0.1, F.lit(1.0)))).filter(F.col("score") >= abbreviation)
-    pairs = counts.filter("kind = 'pair' and n > 2")
+    # collocations: a capitalised word's share after one type's periods against its share after all others'; the surplus must also be the larger part, or starters would be bound by sheer size
+    pairs = counts.filter("kind = 'pair'").select("lang", "type", "next", "n")
+    by_type, by_next, by_lang = (pairs.groupBy(*keys).agg(F.sum("n").alias(c)) for keys, c in ((("lang", "type"), "a"), (("lang", "next"), "b"), (("lang",), "both")))
+    wanted = by_type.filter("length(type) = 1").select("lang", "type").union(scored.select("lang", "type")).distinct()  # numbers, initials, likely abbreviations
+    t = pairs.filter("n > 1").join(by_type.join(wanted, ["lang", "type"], "left_semi"), ["lang", "type"]).join(by_next, ["lang", "next"]).join(by_lang, "lang")
+    q0, q1, q2 = clamp(F.col("b") / F.col("both")), clamp(F.col("n") / F.col("a")), clamp((F.col("b") - F.col("n")) / F.greatest(F.col("both") - F.col("a"), F.lit(1.0)))
+    ratio = -2 * (part(F.col("n"), F.col("a"), q0) + part(F.col("b") - F.col("n"), F.col("both") - F.col("a"), q0) - part(F.col("n"), F.col("a"), q1) - part(F.col("b") - F.col("n"), F.col("both") - F.col("a"), q2))
     kept = scored.select("lang", "type", "k", "goes").collect()
-    pair_rows = pairs.join(scored.select("lang", "type"), ["lang", "type"], "left_semi").unionByName(pairs.filter("type = '0'")).select("lang", "type", "next", "n").collect()
+    pair_rows = t.filter((ratio >= collocation) & (F.col("n") > 2 * F.col("a") * q2)).select("lang", "type", "next", "n", "b").collect()
     counts.unpersist()
     on: Counter = Counter()
     for r in pair_rows:
         if r["next"] not in model.starters.get(r["lang"], ()):
             on[r["lang"], r["type"]] += r["n"]
-            model.bound.setdefault(r["lang"], set()).add((r["type"], r["next"]))
+        elif 2 * r["n"] <= r["b"]:  # a starter that follows other periods more often begins a sentence here too
+            continue
+        model.bound.setdefault(r["lang"], set()).add((r["type"], r["next"]))
     for r in kept:
         if r["goes"] + on[r["lang"], r["type"]] >= max(3, evidence * r["k"]):
             model.abbreviations.setdefault(r["lang"], set()).add(r["type"])

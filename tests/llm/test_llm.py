@@ -442,6 +442,18 @@ def test_sentences_learn(spark):
     assert sentences.learn(df.select("text", "lang").filter("false")).abbreviations == {}
 
 
+def test_collocations(spark):
+    """Words that begin sentences everywhere aren't tied to a number or abbreviation by their count; names that only follow one type are, even if they also begin sentences."""
+    rows = [f"The list is kept by Dr. Quill in the file {i} of rows. It is read by the loop." for i in range(60)] + [f"Quill is the one who wrote part {i} of it. The rest was left." for i in range(60)]
+    rows += [f"The file was sent to dr. {i} of the town and it went on." for i in range(60)] + ["The queue was closed in 2019. Samples of the row were lost in the loop."] * 5
+    rows += [f"The loop of {w} ended. Samples of it and the samples went to the Samples file." for w in ("rows", "files", "lists", "queues", "words") for _ in range(40)]
+    df = spark.createDataFrame([(t, "en") for t in rows], "text string, lang string")
+    m = sentences.learn(df)
+    assert "dr" in m.abbreviations["en"] and "Quill" in m.starters["en"] and "Samples" not in m.starters["en"]
+    assert ("dr", "Quill") in m.bound["en"] and ("0", "Samples") not in m.bound["en"]
+    assert len(sentences.units(rows[0], m)) == 2 and len(sentences.units(rows[180], m)) == 2
+
+
 # --- on the test tables ---
 
 
