@@ -214,3 +214,21 @@ def test_bm25_prunes_exactly(spark):
     frame = spark.createDataFrame(queries, "query_id long, query_text string")
     for seeds, direct in ((1, 0), (3, 0), (3, 10**9)):
         assert {(r["query_id"], r["doc_id"]) for r in retrieval.search_bm25(index, frame, 7, seeds=seeds, direct=direct).collect()} == want
+
+
+def test_ltr_validates_on_all_queries(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for q in range(70):
+        x = rng.normal(size=(12, 5))
+        s = x[:, 0] + rng.normal(size=12)
+        rows.append(pd.DataFrame(x, columns=ltr.FEATURES).assign(query_id=q, doc_id=range(12), label=np.select([s > 1.5, s > 0.8], [3, 1], 0)))
+    a, b = pd.concat(rows[:20]), pd.concat(rows[20:])
+    train, valid = spark.createDataFrame(a), spark.createDataFrame(b)
+    few = ltr.sample_queries(train, 10).toPandas()
+    p = ltr.Params(min_rows=5, rounds=12, patience=3)
+    want, got = ltr.fit(few, b, p), ltr.train(train, valid, p, queries=10)
+    assert len(got.trees) == len(want.trees) and abs(got.best_ndcg - want.best_ndcg) < 1e-9
+    for r in ltr.tune(train, valid, n=2, queries=10).collect():
+        want = ltr.fit(few, b, ltr.configurations(2)[r["config_id"]])
+        assert (r["n_trees"], r["ndcg"]) == (len(want.trees), round(want.best_ndcg, 6))
