@@ -54,9 +54,9 @@ _WIKI = re.compile(
 _MD = tuple((guard, re.compile(p, re.M)) for guard, p in (
     (("#",), r"^#{2,6}[ \t]+\S"),
     (("---", "===", "***", "___"), r"^[^\s\-=][^\n]*\r?\n(?:={3,}|-{3,})[ \t]*\r?$|^(?:-{3}|\*{3,}|_{3,})[ \t]*\r?$|^\|?[ \t]*:?-{3,}:?[ \t]*\|[-:| \t]*\r?$"),
-    (("*",), r"(?<![\w*\\])(\*{1,3})(?=[^\s*])[^*\n]{1,300}?(?<=[^\s*])\1(?![\w*])"),
+    (("*",), r"(?<![\w*\\])(\*{1,3})(?=[^\s*])[^*\n]+?(?<=[^\s*])\1(?![\w*])"),
     (("__",), r"(?<!\w)__(?=[^\s_])[^_\n]+ [^_\n]+(?<=\S)__(?!\w)"),
-    (("_ ", "_.", "_,", "_\n", "_)", "_?", "_!"), r"(?<!\w)_(?=[A-Za-z])[^_\n]{1,200}[A-Za-z.!?]_(?!\w)"),
+    (("_ ", "_.", "_,", "_\n", "_)", "_?", "_!"), r"(?<!\w)_(?=[A-Za-z])[^_\n]+[A-Za-z.!?]_(?!\w)"),
     (("](",), r"!\[[^\]\n]*\]\([^()\s]+[^()\n]*\)|(?<!\w)\[[^\[\]\n]+\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)"),
     (("]:",), r"^\[[^\]\n]+\]:[ \t]*\S+"),
     (("<http",), r"<https?://[^<>\s]+>"),
@@ -244,7 +244,7 @@ def _inline(text: str, held: list[str]) -> str:
         text = re.sub(r"\[https?://\S+ ([^\]\n]+)\]", r"\1", text)
     if "markdown" in held:
         text = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:[ \t]+\"[^\"\n]*\")?\)", r"\1", text)
-        text = re.sub(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]{1,300}?)(?<=[^\s*])\1(?![\w*])", r"\2", text)
+        text = re.sub(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^*\n]+?)(?<=[^\s*])\1(?![\w*])", r"\2", text)
         text = re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", text)
     if "latex" in held:
         text = re.sub(r"\\(?:texttt|textbf|textit|emph|underline|textsc|url|footnote|ref|cite|label)\{((?:[^{}]|\\[{}])*)\}", r"\1", text)

@@ -318,6 +318,14 @@ def test_markup_never_fails(body):
         assert 0 <= a < b <= len(body)
 
 
+@pytest.mark.parametrize("mark", ["*", "**", "***", "_"])
+def test_long_emphasis(mark):
+    passage = "word " * 200 + "end"
+    body = f"See {mark}{passage}{mark} here."
+    assert markup.kinds(body) == ["markdown"]
+    assert mark == "_" or markup.clean(body) == f"See {passage} here."
+
+
 def test_markup_tables(spark):
     df = spark.createDataFrame([("q", 1, "<p>a</p>"), ("q", 1, "<p>a</p>"), ("q", 2, "x" * 300_000)], "table_name string, record_id long, body string").withColumn("markup", F.lit(1))
     assert [tuple(r) for r in markup.find_markup(df.drop("markup")).collect()] == [("q", 1, "html")]
