@@ -7,9 +7,9 @@ import importlib
 
 
 def main() -> None:
-    from rankmill.plans import catalog, core_problems
+    from rankmill.plans import catalog, catalog_more, core_problems
 
-    found = catalog.QUERIES | core_problems.QUERIES
+    found = catalog.QUERIES | catalog_more.QUERIES | core_problems.QUERIES
     ap = argparse.ArgumentParser(prog="rankmill")
     ap.add_argument("name", nargs="?")
     ap.add_argument("folder", nargs="?")

@@ -80,13 +80,13 @@ def judge_prompts(claims: DataFrame, sources: DataFrame, corpus: DataFrame, inst
     block = F.concat(F.lit("["), F.col("ref").cast("string"), F.lit("] "), F.coalesce("title", F.lit("?")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", block.alias("b")))), lambda r: r["b"]), "\n\n")
     per = refs.groupBy("query_id", "claim_idx", "claim").agg(text.alias("context"))
-    return per.select("query_id", "claim_idx", F.concat(F.lit(instruction + "\n\n"), F.col("context"), F.lit("\n\nClaim: "), F.col("claim")).alias("prompt"))
+    return per.select("query_id", "claim_idx", "claim", F.concat(F.lit(instruction + "\n\n"), F.col("context"), F.lit("\n\nClaim: "), F.col("claim")).alias("prompt"))
 
 
 def judge(claims: DataFrame, sources: DataFrame, corpus: DataFrame, llm: LLM) -> DataFrame:
     """Every claim's label from the judge's text."""
     said = rag.generate(judge_prompts(claims, sources, corpus), llm, out="raw")
-    return claims.join(said.select("query_id", "claim_idx", "raw"), ["query_id", "claim_idx"], "left").withColumn("label", rag.parse_verdict(F.col("raw")))
+    return claims.join(said.select("query_id", "claim_idx", "claim", "raw"), ["query_id", "claim_idx", "claim"], "left").withColumn("label", rag.parse_verdict(F.col("raw")))
 
 
 def compare_answers(prompts: DataFrame, before: LLM, after: LLM) -> DataFrame:

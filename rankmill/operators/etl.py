@@ -31,6 +31,17 @@ def typed_posts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return questions, answers
 
 
+def type_counts(raw: DataFrame) -> DataFrame:
+    """Rows per type code, in order of the code."""
+    return raw.groupBy(F.col("PostTypeId").alias("post_type")).agg(F.count("*").alias("n")).orderBy("post_type")
+
+
+def same_counts(raw: DataFrame, clean: DataFrame, key: str) -> DataFrame:
+    """Rows before and after cleaning, whether they are as many, and rows repeated under one key."""
+    one = raw.agg(F.count("*").alias("n_raw")).crossJoin(clean.agg(F.count("*").alias("n_clean"), (F.count("*") - F.countDistinct(key)).alias("n_repeats")))  # one row each
+    return one.select("n_raw", "n_clean", (F.col("n_raw") == F.col("n_clean")).alias("is_complete"), "n_repeats")
+
+
 def tagged(questions: DataFrame, *tags: str) -> DataFrame:
     return questions.filter(has_tag("tags", *tags))
 

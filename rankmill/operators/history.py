@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankmill.functions.text import tokenize
 
 ROLES = ("user", "assistant")
+#: Declared columns of the two tables.
+CONVERSATIONS = "id long, title string, model string, created_at double, temperature double, max_tokens int, n_ctx int, n_gpu_layers int"
+MESSAGES = "id long, conversation_id long, role string, content string, created_at double, route string, top_cosine double, gate string, used_docs boolean, sources_json string, context_used int"
 SETTINGS = ("temperature", "max_tokens", "n_ctx", "n_gpu_layers")
 
 
+def open_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables below ``path`` with their declared columns; made empty where they don't exist yet."""
+    out = []
+    for name, schema in (("conversations", CONVERSATIONS), ("messages", MESSAGES)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/{name}")
+        out.append(spark.read.schema(schema).parquet(f"{path}/{name}"))
+    return out[0], out[1]
+
+
 def fit_history(messages: DataFrame, budget: int | Column, cost: Column | None = None, cost_name: str = "cost") -> DataFrame:
-    """The newest messages of each conversation whose costs together stay within the budget.
+    """The newest messages of each conversation whose costs together stay within the budget; a NULL or negative budget keeps none.
 
-    Costs are not negative, so the running sum from the newest on never falls and
-    the first message beyond the budget ends the history.
+    Costs are whole numbers and not negative, so the first message beyond the
+    budget ends the history, and it is among the newest ``budget + 1`` that cost
+    anything.  Only those are ranked, limited before the shuffle, so a
+    conversation with very many messages never meets in one task.
     """
     c = cost if cost is not None else F.size(tokenize("content"))
-    w = Window.partitionBy("conversation_id").orderBy(F.desc("created_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    b = F.lit(budget) if isinstance(budget, int) else budget
-    return messages.withColumn(cost_name, c).withColumn("running", F.sum(cost_name).over(w)).filter(F.col("running") <= b)
+    newest = [F.desc("created_at"), F.desc("id")]
+    w = Window.partitionBy("conversation_id").orderBy(*newest)
+    running = F.sum(cost_name).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = messages.withColumn(cost_name, c).withColumn("_budget", F.lit(budget) if isinstance(budget, int) else budget).filter("_budget >= 0")
+    most = budget if isinstance(budget, int) else rows.agg(F.max("_budget")).first()[0] or 0
+    paid = rows.filter(F.col(cost_name) > 0).select("conversation_id", "created_at", "id", cost_name, "_budget").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= int(most) + 1)
+    beyond = paid.withColumn("running", running).filter("running > _budget").groupBy("conversation_id").agg(F.max(F.struct("created_at", "id")).alias("end"))
+    kept = rows.join(beyond, "conversation_id", "left").filter(F.col("end").isNull() | (F.struct("created_at", "id") > F.col("end"))).drop("end", "_budget")
+    return kept.withColumn("running", running)
+
+
+def context_budget(n_ctx: Column, reserve: Column, skeleton: Column | int, margin: int = 48) -> Column:
+    """Tokens left for the history: the context less the reply's share, the prompt without history, and a margin for markers."""
+    return n_ctx - reserve - margin - (F.lit(skeleton) if isinstance(skeleton, int) else skeleton)
 
 
 def format_history(kept: DataFrame) -> DataFrame:
@@ -55,6 +80,17 @@ def sidebar(conversations: DataFrame, today: Column, query: str = "") -> DataFra
     return rows.withColumn("day_group", day_group(F.col("created_at"), today)).groupBy("day_group").agg(F.count("*").alias("n"), F.max("created_at").alias("newest"))
 
 
+def sidebar_rows(conversations: DataFrame, now: Column, query: str = "", zone: str = "UTC") -> DataFrame:
+    """``(group_no, day_group, id, title, created_at)`` in the order of display: groups by whole local days, newest first inside; empty groups have no rows."""
+    q = query.strip().lower()
+    rows = conversations.filter(F.contains(F.lower("title"), F.lit(q))) if q else conversations
+    local = lambda t: F.from_utc_timestamp(F.timestamp_seconds(t), zone).cast("date")
+    days = F.datediff(local(now), local(F.col("created_at")))
+    rows = rows.withColumn("group_no", F.when(days <= 0, 1).when(days == 1, 2).otherwise(3))
+    name = F.element_at(F.array(F.lit("today"), F.lit("yesterday"), F.lit("earlier")), F.col("group_no"))
+    return rows.select("group_no", name.alias("day_group"), "id", "title", "created_at").orderBy("group_no", F.desc("created_at"), F.desc("id"))
+
+
 def newest_first(conversations: DataFrame) -> DataFrame:
     return conversations.orderBy(F.desc("created_at"), F.desc("id"))
 
@@ -70,10 +106,52 @@ def insert_conversation(conversations: DataFrame, row: dict, defaults: dict) ->
     return conversations.unionByName(new)
 
 
-def insert_messages(messages: DataFrame, new: DataFrame, conversations: DataFrame) -> DataFrame:
-    """Appends messages; a role outside the allowed ones or an unknown conversation is refused."""
-    sound = new.filter(F.col("role").isin(*ROLES)).join(conversations.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
-    return messages.unionByName(sound.select(messages.columns))
+def _with_rules(messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Adds ``_rules``, the rules that a row breaks."""
+    known = conversations.select(F.col("id").alias("conversation_id")).filter("conversation_id is not null").distinct().withColumn("_known", F.lit(True))
+    broken = F.array(
+        F.when(F.col("content").isNull(), "content"), F.when(F.col("_known").isNull(), "conversation"), F.when(~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), "role"))
+    return messages.join(known, "conversation_id", "left").withColumn("_rules", F.array_compact(broken)).select(*messages.columns, "_rules")
+
+
+def violations(messages: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``(id, conversation_id, rule)``: every rule that a message row breaks (role, content, parent)."""
+    return _with_rules(messages, conversations).select("id", "conversation_id", F.explode("_rules").alias("rule"))
+
+
+def insert_messages(messages: DataFrame, new: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The table with the sound rows of ``new`` appended, columns not given being NULL, and the refused rows with their broken ``rules``."""
+    rows = _with_rules(new, conversations)
+    sound = rows.filter(F.size("_rules") == 0).drop("_rules")
+    return messages.unionByName(sound, allowMissingColumns=True).select(messages.columns), rows.filter(F.size("_rules") > 0).withColumnRenamed("_rules", "rules")
+
+
+def coded_flag(col: Column) -> Column:
+    """A flag as 0 or 1, NULL kept; ``decoded_flag`` is the way back."""
+    return col.cast("int")
+
+
+def decoded_flag(col: Column) -> Column:
+    return col.cast("boolean")
+
+
+def post_messages(conversations: DataFrame, messages: DataFrame, posts: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both turns of every answered post appended to the history, and the posts that left no trace, with the reason.
+
+    ``posts(post_id, conversation_id, content, created_at)`` are numbered from 1;
+    ``answers(post_id, reply, ...)`` may carry trace columns of the history.  A
+    post whose conversation is unknown is refused; one without a reply (the
+    generator failed) is rolled back, so no question stands without its answer.
+    """
+    known = conversations.select(F.col("id").alias("conversation_id")).filter("conversation_id is not null").distinct().withColumn("_known", F.lit(True))
+    trace = [c for c in answers.columns if c not in ("post_id", "reply") and c in messages.columns]
+    rows = posts.select("post_id", "conversation_id", "content", "created_at").join(known, "conversation_id", "left").join(answers.select("post_id", "reply", *trace), "post_id", "left")
+    reason = F.when(F.col("_known").isNull(), "conversation").when(F.col("reply").isNull(), "generation")
+    rows = rows.withColumn("reason", reason).crossJoin(F.broadcast(messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))))  # one row
+    fine = rows.filter("reason is null")
+    turn = lambda k, role, text, more: fine.select((F.col("_last") + 2 * F.col("post_id") - k).alias("id"), "conversation_id", F.lit(role).alias("role"), F.col(text).alias("content"), "created_at", *more)
+    new = turn(1, "user", "content", []).unionByName(turn(0, "assistant", "reply", trace), allowMissingColumns=True)
+    return messages.unionByName(new, allowMissingColumns=True).select(messages.columns), rows.filter("reason is not null").select("post_id", "conversation_id", "reason")
 
 
 def partial_update(base: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:

@@ -66,3 +66,8 @@ def examples(compared: DataFrame, first_a: DataFrame, first_b: DataFrame, titles
         best = ranked.filter("rank = 1").join(titles, "doc_id", "left").select("query_id", F.coalesce("title", F.lit("?")).alias(f"title_{name}"))
         top = top.join(best, "query_id", "left").withColumn(f"title_{name}", F.coalesce(f"title_{name}", F.lit("?")))
     return top.select("bucket", "nth", "query_id", F.round("delta", 6).alias("delta"), "title_a", "title_b")
+
+
+def report(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, method: str, variant: str, split: str) -> DataFrame:
+    """The means of one method on one corpus variant and split, named."""
+    return evaluate(ranked, qrels, queries).select(F.lit(method).alias("method"), F.lit(variant).alias("variant"), F.lit(split).alias("split"), "ndcg", "mrr", "recall", "n_queries")

@@ -6,6 +6,7 @@ only serve tests and dry runs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -103,9 +104,9 @@ def trace(route_: Column, gate: Column, cosine: Column, n_sources: Column) -> Co
     """What a reader is told about how an answer came about; NULL without a route."""
     score = F.format_string("%.2f", F.floor(cosine * 100 + 0.5) / 100)
     return (
-        F.when(route_ == "ANSWER", "answered directly (no search needed)")
-        .when((route_ == "SEARCH") & (gate == "open"), F.concat(F.lit("searched (confidence "), score, F.lit("), grounded in "), F.coalesce(n_sources, F.lit(0)).cast("string"), F.lit(" answer(s)")))
-        .when(route_ == "SEARCH", F.concat(F.lit("searched, low confidence ("), score, F.lit("), answered without sources")))
+        F.when(route_ == "ANSWER", "from the model alone")
+        .when((route_ == "SEARCH") & (gate == "open"), F.concat(F.lit("from "), F.coalesce(n_sources, F.lit(0)).cast("string"), F.lit(" document(s), best match "), score))
+        .when(route_ == "SEARCH", F.concat(F.lit("from the model alone: best match only "), score))
     )
 
 
@@ -126,3 +127,28 @@ def generate(prompts: DataFrame, llm: Callable[[str], str], attempts: int = 3, o
             yield pdf.assign(**{out: [ask(p) for p in pdf["prompt"]]})
 
     return prompts.mapInPandas(run, schema)
+
+
+def generate_claims(prompts: DataFrame, llm: Callable[[str], str], k: Column | int, attempts: int = 3) -> DataFrame:
+    """Adds ``claims`` (text, citations within 1..k): a reply that is no complete JSON is asked for again, up to ``attempts`` times, then there are none.
+
+    The reply is a list of claims or an object with such a list under ``claims``.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.schema.fields) + ", claims_json string"
+
+    def ask(prompt: str) -> str:
+        for _ in range(attempts):
+            try:
+                value = json.loads(llm(prompt))
+            except Exception:  # a cut reply, or a failed call
+                continue
+            found = value.get("claims") if isinstance(value, dict) else value
+            return json.dumps(found if isinstance(found, list) else [], ensure_ascii=False)
+        return "[]"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(claims_json=[ask(p) for p in pdf["prompt"]])
+
+    out = prompts.mapInPandas(run, schema)
+    return out.withColumn("claims", parse_claims(F.col("claims_json"), k)).drop("claims_json")

@@ -14,10 +14,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankmill.functions.text import term_bag, tokenize
+from rankmill.functions.text import term_bag
 from rankmill.session import Scratch
 
 #: Rows up to which a side is broadcast; beyond, the join shuffles.
@@ -44,6 +47,23 @@ class BM25Index:
     k1: float
     b: float
 
+    def save(self, path: str) -> None:
+        """Writes the index below ``path``: postings in order of their term, so that a search reads only the row groups of its terms."""
+        self.tf.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/postings")
+        self.terms.sort("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/terms")
+        self.stats.select("n_docs", "avg_len", F.lit(float(self.k1)).alias("k1"), F.lit(float(self.b)).alias("b")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BM25Index:
+        """The index that ``save`` wrote; nothing but its one row of totals is read until it is searched."""
+        try:
+            stats = spark.read.schema("n_docs long, avg_len double, k1 double, b double").parquet(f"{path}/stats")
+            k1, b = stats.select("k1", "b").first()
+        except (AnalysisException, TypeError) as e:
+            raise FileNotFoundError(f"no index in {path}; build and save one first") from e
+        tf = spark.read.schema("term string, doc_id long, len int, tf long").parquet(f"{path}/postings")
+        return cls(tf, spark.read.schema("term string, df long, idf double").parquet(f"{path}/terms"), stats.select("n_docs", "avg_len"), k1, b)
+
     def postings(self) -> DataFrame:
         """``(term, doc_id, weight)``: a term's whole weight in a document."""
         return _weigh(self.tf.join(self.terms, "term"), self)
@@ -117,22 +137,33 @@ def search_bm25(index: BM25Index, queries: DataFrame, k: int = 100, mode: str =
 
 
 def hash_embed(dim: int = 256, mode: str = "code"):
-    """A deterministic encoder that needs no model: signed feature hashing of the terms, unit length."""
+    """A deterministic encoder that needs no model: signed feature hashing of the terms, unit length.
+
+    Terms are hashed in the JVM; a batch of texts is added up as one array.
+    """
+
+    @F.pandas_udf("array<double>")
+    def encode(hashes: pd.Series) -> pd.Series:
+        h = [np.asarray(x if x is not None else (), np.int64) for x in hashes]
+        owner = np.repeat(np.arange(len(h)), [len(x) for x in h])
+        flat = np.concatenate(h) if h else np.zeros(0, np.int64)
+        v = np.bincount(owner * dim + flat % dim, np.where((flat >> 20) & 1, 1.0, -1.0), len(h) * dim).reshape(len(h), dim)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return pd.Series(list(np.divide(v, n, out=np.zeros_like(v), where=n > 0)))
+
+    return lambda text: encode(F.transform(term_bag(text, mode), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")))
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """Writes ``vectors(doc_id, embedding)`` as they lie."""
+    vectors.select("doc_id", "embedding").write.mode("overwrite").option("compression", "zstd").parquet(path)
 
-    @F.pandas_udf("array<float>")
-    def encode(terms: pd.Series) -> pd.Series:
-        out = []
-        for t in terms:
-            v = np.zeros(dim, np.float32)
-            if t is not None and len(t):
-                h = pd.util.hash_array(np.asarray(list(t), dtype=object), categorize=False)
-                np.add.at(v, (h % np.uint64(dim)).astype(np.int64), np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0).astype(np.float32))
-                n = np.linalg.norm(v)
-                v = v / n if n else v
-            out.append(v)
-        return pd.Series(out)
 
-    return lambda text: encode(tokenize(text, mode))
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.parquet(path).select("doc_id", "embedding")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no vectors in {path}; encode and save them first") from e
 
 
 def normalised(col: Column) -> Column:
@@ -142,37 +173,59 @@ def normalised(col: Column) -> Column:
     return F.transform(x, lambda v: F.when(n > 0, v / n).otherwise(0.0))
 
 
-def search_dense(vectors: DataFrame, queries: DataFrame, k: int = 100, block: int = 512) -> DataFrame:
+def search_dense(vectors: DataFrame, queries: DataFrame, k: int = 100, slice_bytes: int = 32 << 20, chunk_bytes: int = 64 << 20) -> DataFrame:
     """Exact top k by inner product of ``vectors(doc_id, embedding)`` for ``queries(query_id, embedding)``.
 
-    Queries are packed into blocks of at most about ``block`` rows, one row each;
-    vectors are packed likewise, and a pair of blocks is one matrix product whose
-    local top k leave the task.  The packed queries are broadcast only while they
-    are few; otherwise the blocks meet in a shuffle.
+    Vectors stay where they lie.  The stated queries are written to the shared
+    folder in slices of bounded size; a task multiplies each chunk of its vectors
+    with one slice after another, and only the local top k leave it.  Vectors
+    that are NULL, or of another length than the queries', match nothing.
     """
-
-    def packed(df: DataFrame, id_col: str, size: int, name: str) -> tuple[DataFrame, int]:
-        rows = df.filter("embedding is not null").select(F.col(id_col).cast("long").alias("id"), "embedding")
-        n = max(1, -(-rows.count() // size))
-        by = F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)
-        return rows.groupBy(by).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("embedding")).alias(f"{name}_values")), n
-
-    q, n_q = packed(queries, "query_id", block, "q")
-    d, n_d = packed(vectors, "doc_id", 4 * block, "d")
-    q = q.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_d - 1).cast("long"))))  # a stated query set, in blocks
-    pairs = d.join(F.broadcast(q) if n_q * n_d <= 64 else q, "d")
+    q = queries.filter("embedding is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    n, dim = q.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    dim = dim or 1
+    written = Scratch(vectors.sparkSession, "queries").write(q.filter(F.size("embedding") == dim).repartition(max(1, -(-n * dim * 8 // slice_bytes))))
+    files = sorted(written.inputFiles())
+
+    def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return np.asarray(a.flatten(), np.float64).reshape(len(a), dim)
+
+    def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for f in files:
+            fs, path = pafs.FileSystem.from_uri(f)
+            t = pq.read_table(path, filesystem=fs)
+            if t.num_rows:
+                yield np.asarray(t["query_id"]), matrix(t["embedding"])
+
+    def best(ids: np.ndarray, v: np.ndarray, few: list) -> Iterator[pa.RecordBatch]:
+        take = min(k, len(ids))
+        for names, m in few or slices():
+            for at in range(0, len(names), 512):
+                scores = np.round(m[at : at + 512] @ v.T, 6) + 0.0
+                least = -np.partition(-scores, take - 1, axis=1)[:, take - 1 : take]
+                row, col = np.nonzero(scores >= least)
+                order = np.lexsort((ids[col], -scores[row, col], row))
+                row, col = row[order], col[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[nth < take], col[nth < take]
+                yield pa.RecordBatch.from_arrays([pa.array(names[at + row]), pa.array(ids[col]), pa.array(scores[row, col])], ["query_id", "doc_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = (np.asarray(batch.column(f"{x}_ids")[i].values, np.int64) for x in "qd")
-                m, n = (np.asarray(batch.column(f"{x}_values")[i].values, np.float64) for x in "qd")
-                scores = np.round(m.reshape(len(a), -1) @ n.reshape(len(b), -1).T, 6)
-                take = min(k, len(b))
-                order = np.lexsort((np.broadcast_to(b, scores.shape), -scores), axis=1)[:, :take]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, take)), pa.array(b[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["query_id", "doc_id", "score"])
-
-    return top_k(pairs.select("q_ids", "q_values", "d_ids", "d_values").mapInArrow(run, "query_id long, doc_id long, score double"), k)
+        few = list(slices()) if len(files) <= 2 else []
+        ids, vs, size = [], [], 0
+        for b in batches:
+            ids.append(np.asarray(b.column("doc_id")))
+            vs.append(matrix(b.column("embedding")))
+            size += vs[-1].nbytes
+            if size >= chunk_bytes:
+                yield from best(np.concatenate(ids), np.concatenate(vs), few)
+                ids, vs, size = [], [], 0
+        if sum(map(len, ids)):
+            yield from best(np.concatenate(ids), np.concatenate(vs), few)
+
+    rows = vectors.filter(F.col("embedding").isNotNull() & F.col("doc_id").isNotNull() & (F.size("embedding") == dim)).select(F.col("doc_id").cast("long").alias("doc_id"), "embedding")
+    return top_k(rows.mapInArrow(run, "query_id long, doc_id long, score double"), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -207,3 +260,12 @@ def with_documents(ranked: DataFrame, corpus: DataFrame, keep_missing: bool = Tr
     docs = corpus.groupBy("doc_id").agg(F.min("title").alias("title"), F.min("answer_body").alias("body"))
     out = ranked.join(docs, "doc_id", "left" if keep_missing else "inner")
     return out.withColumn("title", F.coalesce("title", F.lit("?"))).withColumn("body", F.coalesce("body", F.lit("")))
+
+
+def search_hybrid(index: BM25Index, vectors: DataFrame, encode, queries: DataFrame, model, k: int = 4, pool: int = 100, rrf_k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The best ``k`` documents per query out of both lists, ordered by a ranking model, and the dense list, whose best score is the confidence."""
+    from rankmill.operators.ltr import build_features, rerank
+
+    scratch = Scratch(queries.sparkSession, "hybrid")
+    dense = scratch.write(search_dense(vectors, queries.select("query_id", encode("query_text").alias("embedding")), pool))
+    return rerank(build_features(search_bm25(index, queries, pool), dense, None, rrf_k, pool), model, k), dense

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from rankmill.functions import text as tx
 from rankmill.functions.html_text import clean_html
 from rankmill.operators import etl, history, ltr, metrics, rag, retrieval
-from rankmill.session import parallelism, spread
+from rankmill.plans.stores import bm25_index, corpus_vectors, documents, encoder
+from rankmill.session import spread
 from rankmill.sources.tables import corpus_text, describe, file_manifest, load
 
 QUERIES: dict = {}
@@ -32,12 +33,6 @@ def query(sql: str | None = None):
 # --- shared inputs ---
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    """One row per document: repeated rows of the index snapshot count once."""
-    rows = load(spark, d, "corpus").select("doc_id", "text").repartition(parallelism(spark), "doc_id")  # one shuffle serves the grouping; what follows stays spread
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-
-
 def _search_queries(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "questions").filter("id % 100 = 0 and title is not null").groupBy(F.col("id").alias("query_id")).agg(F.min("title").alias("query_text"))
 
@@ -50,8 +45,14 @@ def _qrels(spark: SparkSession, d: str) -> DataFrame:
     return etl.build_qrels(load(spark, d, "corpus"))
 
 
-def _bm25(spark: SparkSession, d: str, mode: str = "code", queries: DataFrame | None = None) -> DataFrame:
-    return retrieval.search_bm25(retrieval.build_bm25(_docs(spark, d), mode=mode), _val(spark, d) if queries is None else queries, 100, mode)
+def _bm25(spark: SparkSession, d: str, mode: str = "code", queries: DataFrame | None = None, variant: str | None = None) -> DataFrame:
+    return retrieval.search_bm25(bm25_index(spark, d, mode, variant), _val(spark, d) if queries is None else queries, 100, mode)
+
+
+def _vectors(spark: SparkSession, d: str, queries: DataFrame | None = None, variant: str | None = None) -> DataFrame:
+    """The dense list: cosines of the hashing encoder, over the whole corpus."""
+    q = _val(spark, d) if queries is None else queries
+    return retrieval.search_dense(corpus_vectors(spark, d, variant), q.select("query_id", encoder()("query_text").alias("embedding")))
 
 
 def _tok(t: str, mode: str = "code") -> str:
@@ -83,6 +84,21 @@ def _bm25_sql(name: str, mode: str = "code") -> str:
 {n} as (select * from (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from {n}_sc) where rank <= 100)"""
 
 
+def _vector_sql(name: str) -> str:
+    n = name
+    hashed = f"select {{id}} as id, unnest(list_transform({{terms}}, lambda t: cast('0x' || substr(md5(t), 1, 8) as bigint))) as h from {{of}}"
+    doc = hashed.format(id="doc_id", terms=_tok("coalesce(text, chr(0))"), of="docs")
+    query_ = hashed.format(id="query_id", terms=_tok("coalesce(query_text, chr(0))"), of="val")
+    return f"""
+{n}_d as (select id as doc_id, h % 256 as bucket, sum(case when (h >> 20) & 1 = 1 then 1 else -1 end)::double as v from ({doc}) group by all),
+{n}_v as (select id as query_id, h % 256 as bucket, sum(case when (h >> 20) & 1 = 1 then 1 else -1 end)::double as v from ({query_}) group by all),
+{n}_dn as (select doc_id, sqrt(coalesce(sum(v * v), 0.0)) as len from docs left join {n}_d using (doc_id) group by doc_id),
+{n}_vn as (select query_id, sqrt(coalesce(sum(v * v), 0.0)) as len from val left join {n}_v using (query_id) group by query_id),
+{n}_dot as (select query_id, doc_id, sum({n}_d.v * {n}_v.v) as dot from {n}_d join {n}_v using (bucket) group by all),
+{n}_sc as (select query_id, doc_id, case when a.len > 0 and b.len > 0 then round(coalesce(dot, 0.0) / (a.len * b.len), 6) + 0.0 else 0.0 end as score from {n}_vn a cross join {n}_dn b left join {n}_dot using (query_id, doc_id)),
+{n} as (select * from (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from {n}_sc) where rank <= 100)"""
+
+
 def _metrics_sql(name: str, of: str) -> str:
     return f"""
 {name}_ideal as (select query_id, sum(case when r <= 10 then (pow(2.0, grade) - 1) / log2(r + 1.0) end) as ideal, count(*) filter (grade >= 1) as n_rel
@@ -95,12 +111,12 @@ def _metrics_sql(name: str, of: str) -> str:
 
 def _rrf_sql(name: str, k: str = "60") -> str:
     return f"""
-{name}_p as (select query_id, doc_id, a.rank as r0, b.rank as r1 from code a full join basic b using (query_id, doc_id)),
+{name}_p as (select query_id, doc_id, a.rank as r0, b.rank as r1 from code a full join vec b using (query_id, doc_id)),
 {name} as (select * from (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, r0 asc nulls last, r1 asc nulls last, doc_id) as int) as rank
   from (select *, round(coalesce(1.0::double / ({k} + r0), 0.0) + coalesce(1.0::double / ({k} + r1), 0.0), 12) as score from {name}_p)) where rank <= 100)"""
 
 
-_TWO = f"with {_DOCS_SQL}, {_VAL_SQL}, {_QRELS_SQL}, {_bm25_sql('code')}, {_bm25_sql('basic', 'basic')}"
+_TWO = f"with {_DOCS_SQL}, {_VAL_SQL}, {_QRELS_SQL}, {_bm25_sql('code')}, {_vector_sql('vec')}"
 _ONE = f"with {_DOCS_SQL}, {_VAL_SQL}, {_QRELS_SQL}, {_bm25_sql('code')}"
 
 
@@ -123,12 +139,12 @@ def answers_of_known_questions(spark, d):
     return etl.answers_of(load(spark, d, "answers"), load(spark, d, "questions")).select("id", "question_id", "score")
 
 
-@query("""select a.id as doc_id, a.question_id, q.title, q.title || chr(10) || chr(10) || a.body as text, a.score as answer_score, a.id = q.accepted_answer_id as is_accepted, q.is_eval_query as from_eval_query
-from (select distinct id, question_id, body, score from answers) a join (select distinct id, title, accepted_answer_id, is_eval_query from questions) q on a.question_id = q.id""")
+@query("""select a.id as doc_id, a.question_id, q.title, q.body as question_body, a.body as answer_body, q.title || chr(10) || chr(10) || a.body as text, a.score as answer_score, a.id = q.accepted_answer_id as is_accepted, q.is_eval_query as from_eval_query
+from (select distinct id, question_id, body, score from answers) a join (select distinct id, title, body, accepted_answer_id, is_eval_query from questions) q on a.question_id = q.id""")
 def corpus_assembly(spark, d):
-    q = load(spark, d, "questions").select("id", "title", "body", "accepted_answer_id", "is_eval_query").withColumn("body", F.lit("")).distinct()
+    q = load(spark, d, "questions").select("id", "title", "body", "accepted_answer_id", "is_eval_query").distinct()
     a = load(spark, d, "answers").select("id", "question_id", "body", "score").distinct()
-    return etl.build_corpus(q, a, "body", "body").drop("question_body", "answer_body")
+    return etl.build_corpus(q, a, "body", "body")
 
 
 @query("""select doc_id, title || chr(10) || chr(10) || question_body || chr(10) || chr(10) || answer_body as text from corpus""")
@@ -216,14 +232,14 @@ def conversation_labels(spark, d):
 
 
 @query(f"with {_DOCS_SQL} select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({_tok('text')}) as term from docs) group by term")
-def tokenize_docs(spark, d):
-    t = _docs(spark, d).select("doc_id", F.explode(tx.term_bag("text")).alias("term"))
+def tokenizedocuments(spark, d):
+    t = documents(spark, d).select("doc_id", F.explode(tx.term_bag("text")).alias("term"))
     return t.groupBy("term", "doc_id").agg(F.count("*").alias("n")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
 @query(f"with {_DOCS_SQL} select doc_id, len({_tok('text', 'basic')}) as n_terms from docs")
 def tokenize_basic(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(tx.tokenize("text", "basic")).cast("long").alias("n_terms"))
+    return documents(spark, d).select("doc_id", F.size(tx.tokenize("text", "basic")).cast("long").alias("n_terms"))
 
 
 # --- retrieval ---
@@ -231,7 +247,7 @@ def tokenize_basic(spark, d):
 
 @query(f"""with {_DOCS_SQL}, {_VAL_SQL}, {_bm25_sql('code')} select term, df, round(idf, 6) as idf from code_df join (select term, count(*) as df from code_tf group by term) using (term)""")
 def bm25_terms(spark, d):
-    return retrieval.build_bm25(_docs(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25_index(spark, d).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_DOCS_SQL}, {_SEARCH_SQL}, {_bm25_sql('code')} select * from code")
@@ -270,7 +286,7 @@ def vector_lengths(spark, d):
 
 @query(f"{_TWO}, {_rrf_sql('rrf')} select * from rrf")
 def rrf_fuse(spark, d):
-    return retrieval.fuse_rrf([_bm25(spark, d), _bm25(spark, d, "basic")])
+    return retrieval.fuse_rrf([_bm25(spark, d), _vectors(spark, d)])
 
 
 _SWEEP = (10, 20, 40, 60, 100, 200)
@@ -285,22 +301,15 @@ def rrf_sweep(spark, d):
     from rankmill.session import Scratch
 
     s = Scratch(spark, "sweep")
-    a, b = s.write(_bm25(spark, d)), s.write(_bm25(spark, d, "basic"))
+    a, b = s.write(_bm25(spark, d)), s.write(_vectors(spark, d))
     judged, val = s.write(_qrels(spark, d)), _val(spark, d)
     return reduce(DataFrame.unionByName, [metrics.evaluate(retrieval.fuse_rrf([a, b], k), judged, val).withColumn("k", F.lit(k)) for k in _SWEEP])
 
 
-def _hybrid_lists(spark, d):
-    encode = retrieval.hash_embed(256)
-    vectors = _docs(spark, d).select("doc_id", encode("text").alias("embedding"))
-    q = _val(spark, d).select("query_id", encode("query_text").alias("embedding"))
-    return _bm25(spark, d), retrieval.search_dense(vectors, q)
-
-
-@query()
+@query(f"{_TWO}, {_rrf_sql('rrf', '5')} select * from rrf")
 def hybrid_search(spark, d):
-    """BM25 and hashed vectors of the whole corpus, fused."""
-    return retrieval.fuse_rrf(list(_hybrid_lists(spark, d)), 5)
+    """BM25 and vectors of the whole corpus, fused."""
+    return retrieval.fuse_rrf([_bm25(spark, d), _vectors(spark, d)], 5)
 
 
 # --- evaluation ---
@@ -318,11 +327,11 @@ def per_query_metrics(spark, d):
 
 def _compared(spark, d):
     judged, val = _qrels(spark, d), _val(spark, d)
-    a, b = _bm25(spark, d), _bm25(spark, d, "basic")
+    a, b = _bm25(spark, d), _vectors(spark, d)
     return metrics.compare(metrics.per_query(a, judged, val), metrics.per_query(b, judged, val)), a, b
 
 
-_CMP = f"""{_TWO}, {_metrics_sql('ma', 'code')}, {_metrics_sql('mb', 'basic')},
+_CMP = f"""{_TWO}, {_metrics_sql('ma', 'code')}, {_metrics_sql('mb', 'vec')},
 cmp as (select query_id, ma.ndcg as a, mb.ndcg as b, ma.ndcg - mb.ndcg as delta, case when greatest(ma.ndcg, mb.ndcg) < 0.1 then 'both_fail' when ma.ndcg - mb.ndcg > 0.1 then 'a_wins' when ma.ndcg - mb.ndcg < -0.1 then 'b_wins' else 'tie' end as bucket from ma join mb using (query_id))"""
 
 
@@ -339,7 +348,7 @@ def oracle_bound(spark, d):
 @query(f"""{_CMP}, t as (select doc_id, min(title) as title from corpus group by doc_id),
 top as (select *, cast(row_number() over (partition by bucket order by round(abs(delta), 6) desc, query_id) as int) as nth from cmp)
 select bucket, nth, query_id, round(delta, 6) as delta, coalesce(x.title, '?') as title_a, coalesce(y.title, '?') as title_b from top
-left join (select query_id, title from code join t using (doc_id) where rank = 1) x using (query_id) left join (select query_id, title from basic join t using (doc_id) where rank = 1) y using (query_id) where nth <= 10""")
+left join (select query_id, title from code join t using (doc_id) where rank = 1) x using (query_id) left join (select query_id, title from vec join t using (doc_id) where rank = 1) y using (query_id) where nth <= 10""")
 def failure_examples(spark, d):
     compared, a, b = _compared(spark, d)
     titles = load(spark, d, "corpus").groupBy("doc_id").agg(F.min("title").alias("title"))
@@ -350,11 +359,11 @@ def failure_examples(spark, d):
 
 
 def _features(spark, d):
-    return ltr.build_features(_bm25(spark, d), _bm25(spark, d, "basic"), _qrels(spark, d))
+    return ltr.build_features(_bm25(spark, d), _vectors(spark, d), _qrels(spark, d))
 
 
 _FEAT = f"""{_TWO}, feat as (select query_id, doc_id, a.score as bm25_score, a.rank::double as bm25_rank, b.score as dense_score, b.rank::double as dense_rank,
-round(coalesce(1.0::double / (5 + a.rank), 0.0) + coalesce(1.0::double / (5 + b.rank), 0.0), 12) as rrf_score, coalesce(grade, 0) as label from code a full join basic b using (query_id, doc_id) left join qrels using (query_id, doc_id))"""
+round(coalesce(1.0::double / (5 + a.rank), 0.0) + coalesce(1.0::double / (5 + b.rank), 0.0), 12) as rrf_score, coalesce(grade, 0) as label from code a full join vec b using (query_id, doc_id) left join qrels using (query_id, doc_id))"""
 
 
 @query(f"{_FEAT} select * from feat")
@@ -380,7 +389,7 @@ def _train_valid(spark, d):
     both = []
     for split in ("train", "val"):
         q = load(spark, d, "splits").filter(F.col("split") == split).select("query_id", "query_text").join(judged.select("query_id").distinct(), "query_id", "left_semi")
-        both.append(s.write(ltr.build_features(_bm25(spark, d, queries=q), _bm25(spark, d, "basic", queries=q), judged)))
+        both.append(s.write(ltr.build_features(_bm25(spark, d, queries=q), _vectors(spark, d, q), judged)))
     return both
 
 
@@ -463,15 +472,20 @@ def faithfulness(spark, d):
     return rag.faithfulness_by_bucket(_judged(spark, d), queries)
 
 
-@query()
+_PROMPTS = f"""{_ONE}, t as (select doc_id, min(row(title, answer_body)) as x from corpus group by doc_id),
+prompts as (select query_id, 'Use only the numbered references.' || chr(10) || chr(10) || 'Question: ' || query_text || chr(10) || chr(10) || docs as prompt from val join
+(select query_id, string_agg('[' || rank || '] ' || coalesce(x[1], '?') || chr(10) || chr(10) || coalesce(x[2], ''), chr(10) || chr(10) order by rank) as docs from code join t using (doc_id) where rank <= 4 group by query_id) using (query_id))"""
+
+
+@query(f"{_PROMPTS} select query_id, length(prompt) || ' characters read' as reply from prompts")
 def generate_stub(spark, d):
     """Prompts answered by a deterministic stub in place of a language model."""
     prompts = rag.build_prompts(_val(spark, d), _bm25(spark, d), load(spark, d, "corpus"))
-    return rag.generate(prompts, lambda p: f"{len(p)} characters read")
+    return rag.generate(prompts, lambda p: f"{len(p)} characters read").select("query_id", "reply")
 
 
-@query("""select distinct id, case when route = 'ANSWER' then 'answered directly (no search needed)' when route = 'SEARCH' and gate = 'open' then 'searched (confidence ' || printf('%.2f', floor(top_cosine * 100 + 0.5) / 100) || '), grounded in ' || coalesce(json_array_length(sources_json), 0) || ' answer(s)'
-when route = 'SEARCH' then 'searched, low confidence (' || printf('%.2f', floor(top_cosine * 100 + 0.5) / 100) || '), answered without sources' end as trace from messages where role = 'assistant'""")
+@query("""select distinct id, case when route = 'ANSWER' then 'from the model alone' when route = 'SEARCH' and gate = 'open' then 'from ' || coalesce(json_array_length(sources_json), 0) || ' document(s), best match ' || printf('%.2f', floor(top_cosine * 100 + 0.5) / 100)
+when route = 'SEARCH' then 'from the model alone: best match only ' || printf('%.2f', floor(top_cosine * 100 + 0.5) / 100) end as trace from messages where role = 'assistant'""")
 def trace_badges(spark, d):
     m = load(spark, d, "messages").filter("role = 'assistant'")
     return m.select("id", rag.trace(F.col("route"), F.col("gate"), F.col("top_cosine"), F.json_array_length("sources_json")).alias("trace")).distinct()
@@ -492,9 +506,11 @@ def history_budget(spark, d):
     return history.fit_history(_messages(spark, d), 60).select("conversation_id", "id", "cost", "running")
 
 
-@query(f"""with {_MSG} select conversation_id, '--- Earlier turns ---' || chr(10) || string_agg(case when role = 'user' then 'User' else 'Assistant' end || ': ' || content, chr(10) order by created_at, id) || chr(10) || '--- End of earlier turns ---' || chr(10) as transcript from m group by conversation_id""")
+@query(f"""with {_MSG}, c as (select *, len({_tok('content')}) as cost from m), r as (select *, sum(cost) over (partition by conversation_id order by created_at desc, id desc rows between unbounded preceding and current row) as running from c)
+select conversation_id, '--- Earlier turns ---' || chr(10) || string_agg(case when role = 'user' then 'User' else 'Assistant' end || ': ' || content, chr(10) order by created_at, id) || chr(10) || '--- End of earlier turns ---' || chr(10) as transcript from r where running <= 400 group by conversation_id""")
 def transcripts(spark, d):
-    return history.format_history(_messages(spark, d))
+    """What of each conversation fits into 400 terms, as text."""
+    return history.format_history(history.fit_history(_messages(spark, d), 400))
 
 
 @query("select conversation_id, max_by(context_used, id) as context_used from messages where role = 'assistant' and context_used is not null group by conversation_id")
@@ -538,7 +554,8 @@ def pending_queries(spark, d):
 # --- sources ---
 
 
-@query()
+@query("""select cast(column_index - 1 as int) as position, column_name, case data_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'TIMESTAMP' then 'timestamp_ntz' when 'DOUBLE' then 'double' end as column_type, true as is_nullable
+from (select *, row_number() over (order by column_index) as nth from duckdb_columns() where table_name = 'questions')""")
 def table_schema(spark, d):
     return describe(load(spark, d, "questions"))
 
@@ -555,31 +572,54 @@ def _even(text: str) -> str:
     return "search" if len(text) % 2 == 0 else "answer"
 
 
-@query(f"""{_ONE}, g as (select query_id, max(score) as top from code group by query_id), n as (select query_id, count(*) as n from code where rank <= 4 group by query_id)
-select query_id, case when length(query_text) % 2 = 0 then 'SEARCH' else 'ANSWER' end as route, case when length(query_text) % 2 = 0 then case when top >= 20 then 'open' else 'closed' end end as gate,
-case when length(query_text) % 2 = 0 then top end as top_score, length(query_text) % 2 = 0 and coalesce(top, 0) >= 20 as used_docs, cast(case when length(query_text) % 2 = 0 and top >= 20 then n else 0 end as int) as n_sources from val left join g using (query_id) left join n using (query_id)""")
-def adaptive_flow(spark, d):
-    """Router, gate and generator with stubs in place of models; the gate is on lexical scores here."""
+def _flow_sql(threshold: float) -> str:
+    search = "length(query_text) % 2 = 0"
+    return f"""{_TWO}, g as (select query_id, max(score) as top from vec group by query_id), n as (select query_id, count(*) as n from code where rank <= 4 group by query_id)
+select query_id, case when {search} then 'SEARCH' else 'ANSWER' end as route, case when {search} then case when top >= {threshold} then 'open' else 'closed' end end as gate,
+case when {search} then top end as top_score, {search} and coalesce(top, 0) >= {threshold} and n is not null as used_docs, cast(case when {search} and top >= {threshold} then coalesce(n, 0) else 0 end as int) as n_sources from val left join g using (query_id) left join n using (query_id)"""
+
+
+def _flow(spark, d, threshold):
     from rankmill.operators.adaptive import adaptive_answers
     from rankmill.session import Scratch
 
-    ranked = Scratch(spark, "flow").write(_bm25(spark, d))
-    out = adaptive_answers(_val(spark, d), _even, lambda p: f"{len(p)} characters read", ranked, ranked, load(spark, d, "corpus"), 20.0)
+    s = Scratch(spark, "flow")
+    out = adaptive_answers(_val(spark, d), _even, lambda p: f"{len(p)} characters read", s.write(_bm25(spark, d)), s.write(_vectors(spark, d)), load(spark, d, "corpus"), threshold)
     return out.select("query_id", "route", "gate", "top_score", "used_docs", "n_sources")
 
 
-@query()
+@query(_flow_sql(0.70))
+def adaptive_flow(spark, d):
+    """Router, gate on the best cosine, and generator, with stubs in place of models."""
+    return _flow(spark, d, 0.70)
+
+
+@query(_flow_sql(0.35))
+def adaptive_flow_low(spark, d):
+    """The same with a threshold that fits the hashing encoder's lower cosines, so that gates open too."""
+    return _flow(spark, d, 0.35)
+
+
+_JUDGE = f"""{_CLAIMS.replace('with c as', f"with {_DOCS_SQL}, val as (select query_id, min(query_text) as query_text from rag_generations where query_id is not null group by query_id), {_bm25_sql('code')}, c as")},
+refs as (select distinct query_id, claim_idx, claim, unnest(case when len(cited) = 0 then [1, 2, 3, 4] else cited end) as ref from k where query_id in (select query_id from code)),
+t as (select doc_id, min(title) as title, min(answer_body) as body from corpus group by doc_id),
+p as (select query_id, claim_idx, claim, string_agg('[' || ref || '] ' || coalesce(title, '?') || chr(10) || chr(10) || coalesce(body, ''), chr(10) || chr(10) order by ref) as context from refs left join code on code.query_id = refs.query_id and code.rank = ref left join t using (doc_id) group by all)"""
+
+
+@query(_JUDGE.replace("p as (select query_id,", "pr as (select refs.query_id,").replace("p as (select *,", "p as (select *,") + """,
+said as (select query_id, claim_idx, claim, length('Is the claim supported by the references? End with VERDICT: YES, PARTIAL or NO.' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Claim: ' || claim) as n from pr)
+select k.query_id, k.claim_idx, k.claim, coalesce(case n % 3 when 0 then 'yes' when 1 then 'partial' else 'no' end, 'unparsed') as label from (select distinct query_id, claim_idx, claim from k) k left join said using (query_id, claim_idx, claim)""")
 def judge_stub(spark, d):
     """Claims judged against their references by a deterministic stub."""
     from rankmill.operators.adaptive import judge
     from rankmill.session import Scratch
 
     g = load(spark, d, "rag_generations").filter("query_id is not null").select("query_id", "bucket", "claims_json").distinct()
-    claims = rag.claim_rows(g, 4)
+    claims = rag.claim_rows(g, 4).dropDuplicates(["query_id", "claim_idx", "claim"])
     queries = load(spark, d, "rag_generations").filter("query_id is not null").groupBy("query_id").agg(F.min("query_text").alias("query_text"))
     ranked = Scratch(spark, "judge").write(_bm25(spark, d, queries=queries)).filter("rank <= 4")
     sources = ranked.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("top_k_doc_ids"))
-    return judge(claims, sources, load(spark, d, "corpus"), lambda p: "VERDICT: " + ("YES", "PARTIAL", "NO")[len(p) % 3]).select("query_id", "claim_idx", "label")
+    return judge(claims, sources, load(spark, d, "corpus"), lambda p: "VERDICT: " + ("YES", "PARTIAL", "NO")[len(p) % 3]).select("query_id", "claim_idx", "claim", "label")
 
 
 @query("select distinct query_id from rag_generations where query_id is not null and query_id not in (select query_id from splits)")

@@ -2,8 +2,8 @@
 
 Long jobs write intermediate tables to the folder that the cluster names in
 ``spark.checkpoint.dir``.  All executors can reach it, so a lost executor costs
-a recomputation of its own tasks and nothing else.  Only when the setting is
-absent (tests, a laptop) is a local folder used.
+a recomputation of its own tasks and nothing else.  Only in local
+mode (tests, a laptop) may the setting be absent, and a local folder is used.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         where = "file://" + tempfile.mkdtemp(prefix="rankmill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

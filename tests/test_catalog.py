@@ -2,11 +2,10 @@
 
 import pytest
 
-from rankmill.plans import catalog, core_problems
+from rankmill.plans import catalog, catalog_more, core_problems
 
-ALL = catalog.QUERIES | core_problems.QUERIES
-SQL = catalog.SQL | core_problems.SQL
-SLOW = {"ltr_tune", "ltr_rerank"}
+ALL = catalog.QUERIES | catalog_more.QUERIES | core_problems.QUERIES
+SQL = catalog.SQL | catalog_more.SQL | core_problems.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -14,7 +13,7 @@ def test_same_as_sql(name, same):
     same(ALL[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
 def test_runs(name, spark, folder):
     df = ALL[name](spark, folder)
     assert len(df.collect()) > 0

@@ -67,8 +67,8 @@ def test_dense_is_exact(spark):
     docs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc_id long, embedding array<double>")
     queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "query_id long, embedding array<double>")
     want = {(i, int(j)) for i, s in enumerate(np.round(q @ v.T, 6)) for j in np.lexsort((np.arange(300), -s))[:5]}
-    for block in (2, 512):
-        got = {(r["query_id"], r["doc_id"]) for r in retrieval.search_dense(docs, queries, 5, block).collect()}
+    for small in (True, False):
+        got = {(r["query_id"], r["doc_id"]) for r in retrieval.search_dense(docs, queries, 5, *((64, 512) if small else ())).collect()}
         assert got == want
     assert retrieval.search_dense(docs.filter("false"), queries, 5).count() == 0
     assert spark.range(1).select(retrieval.normalised(F.array(F.lit(3.0), F.lit(4.0)))).first()[0] == [0.6, 0.8]
@@ -127,7 +127,18 @@ def test_history(spark):
     assert left.count() == 1 and msgs.count() == 0
     assert history.insert_conversation(c, {"id": 3}, {"title": "New"}).filter("id = 3").first()["title"] == "New"
     bad = m.withColumn("role", F.lit("system"))
-    assert history.insert_messages(m, bad, c).count() == 3
+    table, refused = history.insert_messages(m, bad.unionByName(m.limit(1).withColumn("id", F.lit(9).cast("long")).withColumn("conversation_id", F.lit(77).cast("long"))), c)
+    assert table.count() == 3 and {(r["id"], tuple(r["rules"])) for r in refused.collect()} == {(1, ("role",)), (2, ("role",)), (3, ("role",)), (9, ("conversation",))}
+    table, refused = history.insert_messages(m, m.withColumn("id", F.col("id") + 10).drop("n"), c)
+    assert table.count() == 6 and table.filter("n is null").count() == 3 and refused.count() == 0
+    posts = spark.createDataFrame([(1, 1, "q1", 9.0), (2, 5, "q2", 9.0), (3, 2, "q3", 9.0)], "post_id long, conversation_id long, content string, created_at double")
+    replies = spark.createDataFrame([(1, "r1", 7), (2, "r2", 7), (3, None, 7)], "post_id long, reply string, n int")
+    table, refused = history.post_messages(c, m, posts, replies)
+    assert {(r["id"], r["role"], r["content"], r["n"]) for r in table.filter("id > 3").collect()} == {(4, "user", "q1", None), (5, "assistant", "r1", 7)}
+    assert {(r["post_id"], r["reason"]) for r in refused.collect()} == {(2, "conversation"), (3, "generation")}
+    assert history.fit_history(m, F.lit(-1), F.col("n")).count() == 0 and history.fit_history(m, F.lit(100), F.col("n")).count() == 3
+    free = m.withColumn("n", F.when(F.col("id") == 2, 11).otherwise(0))
+    assert {r["id"] for r in history.fit_history(free, 10, F.col("n")).collect()} == {3}
     assert history.migrate(c, {"n_ctx": ("int", 8192)}).first()["n_ctx"] == 8192
     assert history.delete_messages(m, spark.createDataFrame([(1,)], "id long")).count() == 2
     s = spark.createDataFrame([('["a"]',), ('[{"title":"b","url":"u"}]',), (None,)], "j string").select(history.source_titles(F.col("j")).alias("s"))
@@ -177,7 +188,7 @@ def test_adaptive(spark):
     corpus = spark.createDataFrame([(7, "T", "B")], "doc_id long, title string, answer_body string")
     rows = {r["query_id"]: r for r in adaptive.adaptive_answers(q, lambda t: "SEARCH" if "find" in t else "no", lambda p: p[:8], ranked, ranked, corpus).collect()}
     assert [(rows[i]["route"], rows[i]["gate"], rows[i]["n_sources"]) for i in (1, 2, 3, 4)] == [("SEARCH", "open", 1), ("SEARCH", "closed", 0), ("ANSWER", None, 0), ("ANSWER", None, 0)]
-    assert rows[1]["trace"] == "searched (confidence 0.90), grounded in 1 answer(s)"
+    assert rows[1]["trace"] == "from 1 document(s), best match 0.90"
     claims = spark.createDataFrame([(1, "b", 1, "c", [1, 9], False)], "query_id long, bucket string, claim_idx int, claim string, cited_refs array<int>, uncited boolean")
     src = spark.createDataFrame([(1, [7])], "query_id long, top_k_doc_ids array<long>")
     assert "[1] T\n\nB\n\n[9] ?" in adaptive.judge_prompts(claims, src, corpus).first()["prompt"]
