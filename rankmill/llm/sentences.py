@@ -1,12 +1,15 @@
 """Sentence units of texts in many languages and scripts.
 
 What marks an abbreviation, and which words begin sentences, is learned from
-the collection itself, per language, without supervision: log-likelihood ratios
-compare how often a type stands before a period with how often any type does
-(abbreviations), and how often a word stands at an undoubted start, the first
-word of a paragraph, with how often it stands anywhere (starters).  A type must
-also be seen where the sentence goes on after its period, or it is merely a
-frequent last word.  Every period is then classified by these statistics.
+the collection itself, per language, without supervision, by log-likelihood
+ratios.  Abbreviations: how often a type stands before a period against how
+often any type does, discounted by length; and sentences must go on after its
+periods more often than after others.  Starters: how often a word stands at an
+undoubted start (of a paragraph, or after a mark that belongs to no candidate)
+against how often any word does.  Collocations: how often a capitalised word
+follows one type's periods against all others', corrected for the number of
+words tried.  No decision compares a count with a fixed number.  Every period
+is then classified by these statistics.
 
 All counts are taken over all texts, combined in the map tasks before the
 shuffle; ratios are computed in Spark and only types above the thresholds reach
@@ -30,7 +33,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,6 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankmill.session import Scratch
 from rankmill.sources.tables import load
 
 MARKS = ".!?…。！？｡।॥؟۔"
@@ -50,6 +54,7 @@ THAI_ENDS = ("ครับ", "ค่ะ", "คะ", "นะ", "จ้ะ", "จ
 #: What joins a quotation to the rest of a Japanese sentence.
 QUOTATIVE = "とっをはがにのもで、，,"
 
+_QUOTE = re.compile("[" + re.escape('"' + "".join(PAIRS) + "".join(PAIRS.values())) + "]")
 _BLANK = re.compile(r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+|\r[^\S\n\r]*\r")
 _CAND = re.compile(r"[" + re.escape(MARKS) + r"]+(?:[\s ]?[»]|[" + re.escape(CLOSERS) + r"])*")
 _ITEM = re.compile(r"[^\S\n]*(?:([-*•–+·▪◦])|\(?(\d{1,3}|[a-z])[.)])[^\S\n]+")
@@ -74,6 +79,7 @@ class Model:
     starters: dict[str, set[str]] = field(default_factory=dict)  # language -> capitalised words
     bound: dict[str, set[tuple[str, str]]] = field(default_factory=dict)  # language -> (type, next word) that go together across a period
     _votes: tuple | None = None
+    _seen: dict[str, tuple] = field(default_factory=dict)  # what is known of tokens met lately
 
     def votes(self) -> tuple[list[str], dict[str, list[tuple[int, float]]]]:
         """The languages, and per frequent word how much it speaks for each of them beyond a word unknown to all."""
@@ -85,6 +91,16 @@ class Model:
             self._votes = names, words
         return self._votes
 
+    def votes_of(self, token: str) -> tuple:
+        """The votes of all words of a token."""
+        v = self._seen.get(token)
+        if v is None:
+            if len(self._seen) > 200_000:
+                self._seen.clear()
+            words = self.votes()[1]
+            v = self._seen[token] = tuple(x for w in _ALPHA.findall(token.lower()) for x in words.get(w, ()))
+        return v
+
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
     """Offsets of the stretches between blank lines."""
@@ -102,16 +118,15 @@ def language(text: str, model: Model) -> str:
         if other and len(other) > 3 * sum(not _IDENT.search(w) for w in _LATIN.findall(text)):
             seen = Counter(name for c, n in Counter(other).items() for a, b, name in _SCRIPTS if a <= ord(c) <= b for _ in range(n))
             return "jpan" if seen["jpan"] else seen.most_common(1)[0][0]
-    names, votes = model.votes()
+    names = model.votes()[0]
     if not names:
         return "latn"
     total = [0.0] * len(names)
-    for w in _ALPHA.findall(text.lower()):
-        v = votes.get(w)
-        if v:
-            for i, x in v:
-                total[i] += x
-    return names[max(range(len(names)), key=total.__getitem__)]
+    seen, votes_of = model._seen, model.votes_of
+    for t in text.split():
+        for i, x in seen[t] if t in seen else votes_of(t):
+            total[i] += x
+    return names[total.index(max(total))]
 
 
 def _kind(token: str) -> str:
@@ -137,16 +152,16 @@ def _word(token: str) -> str:
 
 def _before(text: str, start: int, at: int) -> str:
     """The token that ends at ``at``, without opening marks."""
-    i = at
-    while i > start and not text[i - 1].isspace():
-        i -= 1
-    return text[i:at].lstrip(OPENERS + "-–—")
+    if at <= start or text[at - 1].isspace():
+        return ""
+    return text[max(start, text.rfind(" ", start, at) + 1) : at].split()[-1].lstrip(OPENERS + "-–—")
 
 
 def _enclosed(p: str) -> list[tuple[int, int]]:
     """Spans of quotations and brackets (the opener's offset, the closer's), outermost only."""
     spans, stack, straight = [], [], None
-    for i, c in enumerate(p):
+    for m in _QUOTE.finditer(p):
+        i, c = m.start(), m.group(0)
         if c == '"':
             if straight is None:
                 straight = i
@@ -191,11 +206,10 @@ def _is_end(p: str, m: re.Match, lang: str, model: Model, unit: int) -> bool:
     end = m.end()
     mark = marks.rstrip(CLOSERS + "  ")
     closed = len(mark) < len(marks)
-    rest = p[end : end + 200]
-    nxt = _TOKEN.search(rest)
+    nxt = _TOKEN.search(p, end)
     if not nxt:
         return True
-    spaced = rest[0].isspace()
+    spaced = p[end].isspace()
     token = nxt.group(0)
     if mark[-1] in WIDE:
         if not closed:
@@ -302,67 +316,89 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
 _COUNTS = "lang string, kind string, type string, next string, n long"
 
 
-def _counted(texts: DataFrame, count, digest=dict, most: int = 300_000) -> DataFrame:
-    """Sums of what ``count`` adds up row by row and ``digest`` makes of it, now and then and at the end of a task."""
+def _counted(texts: DataFrame, count, digest, scratch: Scratch, most: int = 300_000) -> DataFrame:
+    """Sums of what ``digest`` makes of the counts that ``count`` adds up row by row, now and then and at the end of a task; written once.
 
-    def flush(c: Counter) -> pd.DataFrame:
-        return pd.DataFrame([(*k, n) for k, n in digest(c).items()], columns=["lang", "kind", "type", "next", "n"])
+    Counts are kept as one counter per (language, kind), whose keys are tokens as they stand.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        c: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+        def flush() -> pd.DataFrame:
+            rows = [(*k, n) for k, n in digest(c).items()]
+            c.clear()
+            return pd.DataFrame(rows, columns=["lang", "kind", "type", "next", "n"])
+
         for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if row.text:
-                    count(c, row)
-                if len(c) > most:
-                    yield flush(c)
-                    c = Counter()
-        yield flush(c)
+            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
+                if text:
+                    count(c, text, lang)
+            if sum(map(len, c.values())) > most:
+                yield flush()
+        yield flush()
 
-    return texts.mapInPandas(run, _COUNTS).groupBy("lang", "kind", "type", "next").agg(F.sum("n").alias("n"))
+    return scratch.write(texts.select("text", "lang").mapInPandas(run, _COUNTS).groupBy("lang", "kind", "type", "next").agg(F.sum("n").alias("n")))
 
 
-def _common_words(texts: DataFrame, top: int) -> dict[str, dict[str, float]]:
-    def count(c: Counter, row) -> None:
-        lang = (row.lang or "").strip().lower()
+def _common_words(texts: DataFrame, top: int, scratch: Scratch) -> dict[str, dict[str, float]]:
+    def count(c: dict, text: str, label: str | None) -> None:
+        lang = (label or "").strip().lower()
         if len(lang) == 2 and lang.isalpha():
-            latin = row.text.isascii() or len(_LATIN.findall(row.text)) > len(_NOT_LATIN.findall(row.text)) / 3
-            c[lang, "text", "latin" if latin else "other", ""] += 1
+            latin = text.isascii() or len(_LATIN.findall(text)) > len(_NOT_LATIN.findall(text)) / 3
+            c[lang, "text"]["latin" if latin else "other"] += 1
             if latin:
-                c.update((lang, "w", w, "") for w in _ALPHA.findall(row.text.lower()))
+                c[lang, "w"].update(text.lower().split())
+
+    def digest(c: dict) -> Counter:
+        out: Counter = Counter()
+        for (lang, kind), tokens in c.items():
+            for t, n in tokens.items():
+                for w in _ALPHA.findall(t) if kind == "w" else (t,):
+                    out[lang, kind, w, ""] += n
+        return out
 
-    counted = _counted(texts, count)
+    counted = _counted(texts, count, digest, scratch)
     # a label counts as a language of Latin script if most of its texts are
     mostly = counted.filter("kind = 'text'").groupBy("lang").agg(F.sum(F.when(F.col("type") == "latin", F.col("n")).otherwise(-F.col("n"))).alias("more")).filter("more > 0")
     counts = counted.filter("kind = 'w'").join(mostly.select("lang"), "lang", "left_semi")
-    w = Window.partitionBy("lang")
-    ranked = counts.withColumn("total", F.sum("n").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("n"), "type"))).filter(F.col("r") <= top)
+    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "type"))).filter(F.col("r") <= top).join(F.broadcast(total), "lang")  # a row per language
     out: dict[str, dict[str, float]] = {}
-    for r in ranked.select("lang", "type", "n", "total").collect():  # at most ``top`` words of each two-letter language
+    for r in ranked.select("lang", "type", "n", "total").orderBy("lang", "r").collect():  # at most ``top`` words of each two-letter language
         out.setdefault(r["lang"], {})[r["type"]] = math.log(r["n"] / r["total"])
     return out
 
 
 def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter: float = 30.0, evidence: float = 0.3, collocation: float = 7.88) -> Model:
-    """A model from ``texts(text, lang)``; thresholds are those of the published method."""
-    model = Model(common=_common_words(texts, top))
-
-    def count(c: Counter, row) -> None:
-        for a, b in paragraphs(row.text):
-            tokens = row.text[a:b].split()
+    """A model from ``texts(text, lang)``; thresholds are those of the published method.
+
+    All decisions rest on ratios: none compares a count with a fixed number, so
+    they are the same for a collection and for many copies of it but for the
+    certainty that more evidence gives.
+    """
+    scratch = Scratch(texts.sparkSession, "sentences")
+    model = Model(common=_common_words(texts, top, scratch))
+
+    def count(c: dict, text: str, label: str | None) -> None:
+        for a, b in paragraphs(text):
+            tokens = text[a:b].split()
             if not tokens:
                 continue
-            lang = language(row.text[a:b], model)
+            lang = language(text[a:b], model)
             if lang in ("thai", "jpan", "hani"):
                 continue
-            c.update((lang, "token", t, "") for t in tokens)
-            c[lang, "head", tokens[0], ""] += 1
-            c.update((lang, "follow", t, n) for t, n in zip(tokens, tokens[1:], strict=False) if t[-1] == ".")
-
-    def digest(c: Counter) -> Counter:
+            c[lang, "token"].update(tokens)
+            c[lang, "head"][tokens[0]] += 1
+            follow = c[lang, "follow"]
+            for i, t in enumerate(tokens[:-1]):
+                if t[-1] in ".!?":
+                    follow[t, tokens[i + 1]] += 1
+
+    def digest(c: dict) -> Counter:
         """Types out of tokens: each different token is looked at once."""
         out: Counter = Counter()
-        for (lang, kind, t, nxt), n in c.items():
+        for lang, kind, t, nxt, n in ((lang, kind, *(key if kind == "follow" else (key, "")), n) for (lang, kind), keys in c.items() for key, n in keys.items()):
             core = t.strip(OPENERS + CLOSERS + ",;:")
             word = core.rstrip(".!?…")
             after = t[t.find(core) + len(word) :] if core else ""
@@ -370,8 +406,14 @@ def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter:
                 if core[:1].isupper() and not _IDENT.search(core):
                     out[lang, "start", _word(core), ""] += n
                 continue
+            if kind == "follow" and (after != "." or not word or _IDENT.search(word)) and not _NUMBER.fullmatch(word) and _kind(nxt) == "upper":  # an undoubted end
+                if "." not in after or after == ".":
+                    out[lang, "start", _word(nxt), ""] += n
+                continue
             if kind == "token" and core[:1].isupper() and not _IDENT.search(word):
                 out[lang, "any", _word(core), ""] += n
+            if kind == "token" and (not _ALPHA.fullmatch(word) or _IDENT.search(word)):
+                out[lang, "name", "", ""] += n
             if kind == "follow" and after == "." and word and word[-1].isdigit() and _NUMBER.fullmatch(word) and _kind(nxt) == "upper":
                 out[lang, "pair", "0", _word(nxt)] += n
             if not word or not _ALPHA.fullmatch(word) or _IDENT.search(word):
@@ -392,53 +434,70 @@ def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter:
                     out[lang, "pair", low, _word(nxt)] += n
         return out
 
-    counts = _counted(texts, count, digest).persist()
-    total = counts.filter("kind in ('with', 'without')").groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("kind") == "with", F.col("n")).otherwise(0)).alias("periods"))
-    caps = counts.filter("kind in ('start', 'any')").groupBy("lang").agg(F.sum(F.when(F.col("kind") == "any", F.col("n")).otherwise(0)).alias("caps"), F.sum(F.when(F.col("kind") == "start", F.col("n")).otherwise(0)).alias("starts"))
-
+    counts = _counted(texts, count, digest, scratch)
     def per(kind: str):
         return F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).cast("double")
 
+    total = counts.groupBy("lang").agg((per("with") + per("without")).alias("tokens"), per("with").alias("periods"), per("goes").alias("going"), (per("with") + per("without") + per("name")).alias("words"))
+
     def part(k, n, p):
         return k * F.log(p) + (n - k) * F.log(1 - p)
 
     clamp = lambda x: F.least(F.greatest(x, F.lit(1e-9)), F.lit(1 - 1e-9))
-    # starters: two-sided ratio of the share of starts among a word's uses and among all others
-    s = counts.filter("kind in ('start', 'any')").groupBy("lang", "type").agg(per("start").alias("k"), per("any").alias("m")).join(caps, "lang").filter("k > 1")
-    p0, p1, p2 = clamp(F.col("starts") / F.col("caps")), clamp(F.col("k") / F.col("m")), clamp((F.col("starts") - F.col("k")) / F.greatest(F.col("caps") - F.col("m"), F.lit(1.0)))
-    ratio = -2 * (part(F.col("k"), F.col("m"), p0) + part(F.col("starts") - F.col("k"), F.col("caps") - F.col("m"), p0) - part(F.col("k"), F.col("m"), p1) - part(F.col("starts") - F.col("k"), F.col("caps") - F.col("m"), p2))
-    for r in s.withColumn("g", ratio).withColumn("p1", p1).withColumn("p0", p0).filter((F.col("g") > starter) & (F.col("p1") > F.col("p0")) | (F.col("p1") > F.lit(0.05))).filter("k > 2").select("lang", "type").collect():
-        model.starters.setdefault(r["lang"], set()).add(r["type"])
+
+    def contrast(k, n, K, N):
+        """Dunning's ratio of k out of n against the rest, K - k out of N - n; and the two shares."""
+        p0, p1, p2 = clamp(K / N), clamp(k / n), clamp((K - k) / F.greatest(N - n, F.lit(1.0)))
+        return -2 * (part(k, n, p0) + part(K - k, N - n, p0) - part(k, n, p1) - part(K - k, N - n, p2)), p1, p2
+
+    c = F.col
     # abbreviations: bond between type and period, discounted by length and by uses without a period
-    a = counts.filter("kind in ('with', 'without', 'goes')").groupBy("lang", "type").agg(per("with").alias("k"), per("without").alias("o"), per("goes").alias("goes")).join(total, "lang").filter("k > 2")
+    a = counts.filter("kind in ('with', 'without', 'goes')").groupBy("lang", "type").agg(per("with").alias("k"), per("without").alias("o"), per("goes").alias("goes")).filter("k > 0").join(F.broadcast(total), "lang")
     letters = F.length(F.regexp_replace("type", r"\.", "")).cast("double")
     dots = F.length("type") - letters + 1
-    n = F.col("k") + F.col("o")
-    bond = -2 * (part(F.col("k"), n, clamp(F.col("periods") / F.col("tokens"))) - part(F.col("k"), n, F.lit(0.99)))
-    scored = a.withColumn("score", bond * F.exp(-letters) * dots * F.pow(letters, -F.col("o") / F.greatest(F.col("k") * 0.1, F.lit(1.0)))).filter(F.col("score") >= abbreviation)
-    # collocations: a capitalised word's share after one type's periods against its share after all others'; the surplus must also be the larger part, or starters would be bound by sheer size
+    n = c("k") + c("o")
+    bond = -2 * (part(c("k"), n, clamp(c("periods") / c("tokens"))) - part(c("k"), n, F.lit(0.99)))
+    scored = a.withColumn("score", bond * F.exp(-letters) * dots * F.pow(letters, -c("o") / F.greatest(c("k") * 0.1, F.lit(1.0)))).filter(c("score") >= abbreviation)
+    # starters: the share of undoubted starts (paragraphs, after marks that no abbreviation has) among a word's uses, against that among all other words
     pairs = counts.filter("kind = 'pair'").select("lang", "type", "next", "n")
-    by_type, by_next, by_lang = (pairs.groupBy(*keys).agg(F.sum("n").alias(c)) for keys, c in ((("lang", "type"), "a"), (("lang", "next"), "b"), (("lang",), "both")))
+    starts = counts.filter("kind = 'start'").select("lang", "type", "n").unionByName(pairs.filter("length(type) > 1").join(scored.select("lang", "type"), ["lang", "type"], "left_anti").select("lang", F.col("next").alias("type"), "n"))
+    starts = starts.groupBy("lang", "type").agg(F.sum("n").alias("k"))
+    s = starts.join(counts.filter("kind = 'any'").select("lang", "type", F.col("n").alias("m")), ["lang", "type"]).join(F.broadcast(starts.groupBy("lang").agg(F.sum("k").alias("all_starts"))), "lang").join(F.broadcast(total), "lang")
+    g, p1, p2 = contrast(F.least("k", "m"), c("m"), c("all_starts"), c("words"))
+    for r in s.filter((g >= starter) & (p1 > p2)).select("lang", "type").collect():
+        model.starters.setdefault(r["lang"], set()).add(r["type"])
+    # collocations: a capitalised word's share after one type's periods against its share after all others'; the surplus must also be the larger part, or starters would be bound by sheer size
+    by_type = pairs.groupBy("lang", "type").agg(F.sum("n").alias("a"), F.count("*").alias("tried"))
+    by_next, by_lang = (pairs.groupBy(*keys).agg(F.sum("n").alias(name)) for keys, name in ((("lang", "next"), "b"), (("lang",), "both")))
     wanted = by_type.filter("length(type) = 1").select("lang", "type").union(scored.select("lang", "type")).distinct()  # numbers, initials, likely abbreviations
-    t = pairs.filter("n > 1").join(by_type.join(wanted, ["lang", "type"], "left_semi"), ["lang", "type"]).join(by_next, ["lang", "next"]).join(by_lang, "lang")
-    q0, q1, q2 = clamp(F.col("b") / F.col("both")), clamp(F.col("n") / F.col("a")), clamp((F.col("b") - F.col("n")) / F.greatest(F.col("both") - F.col("a"), F.lit(1.0)))
-    ratio = -2 * (part(F.col("n"), F.col("a"), q0) + part(F.col("b") - F.col("n"), F.col("both") - F.col("a"), q0) - part(F.col("n"), F.col("a"), q1) - part(F.col("b") - F.col("n"), F.col("both") - F.col("a"), q2))
-    kept = scored.select("lang", "type", "k", "goes").collect()
-    pair_rows = t.filter((ratio >= collocation) & (F.col("n") > 2 * F.col("a") * q2)).select("lang", "type", "next", "n", "b").collect()
-    counts.unpersist()
+    t = pairs.join(by_type.join(wanted, ["lang", "type"], "left_semi"), ["lang", "type"]).join(by_next, ["lang", "next"]).join(F.broadcast(by_lang), "lang")
+    g, _, q2 = contrast(c("n"), c("a"), c("b"), c("both"))
+    tested = F.lit(collocation) + 2 * F.log(c("tried"))  # as many words are tried as follow the type
+    kept = scored.select("lang", "type", "k", "goes", "periods", "going").collect()
+    mostly = s.select("lang", c("type").alias("next"), (2 * c("k") >= c("m")).alias("starts"))
+    pair_rows = t.filter((g >= tested) & (c("n") > 2 * c("a") * q2)).join(mostly, ["lang", "next"], "left").select("lang", "type", "next", "n", "b", F.coalesce("starts", F.lit(False)).alias("starts")).collect()
     on: Counter = Counter()
     for r in pair_rows:
-        if r["next"] not in model.starters.get(r["lang"], ()):
+        if not r["starts"] and r["next"] not in model.starters.get(r["lang"], ()):
             on[r["lang"], r["type"]] += r["n"]
-        elif 2 * r["n"] <= r["b"]:  # a starter that follows other periods more often begins a sentence here too
+        elif 2 * r["n"] <= r["b"]:  # a word of sentence starts that follows other periods more often begins a sentence here too
             continue
         model.bound.setdefault(r["lang"], set()).add((r["type"], r["next"]))
+    # a type must be followed by a sentence that goes on more often than periods are, beyond chance
     for r in kept:
-        if r["goes"] + on[r["lang"], r["type"]] >= max(3, evidence * r["k"]):
+        k = min(r["k"], r["goes"] + on[r["lang"], r["type"]])
+        p, usual = k / r["k"], r["going"] / r["periods"]
+        if p >= evidence and p > usual and 2 * (_log_share(k, r["k"], p) - _log_share(k, r["k"], usual)) >= collocation:
             model.abbreviations.setdefault(r["lang"], set()).add(r["type"])
     return model
 
 
+def _log_share(k: float, n: float, p: float) -> float:
+    """Log-likelihood of k out of n at a share of p."""
+    p = min(max(p, 1e-9), 1 - 1e-9)
+    return k * math.log(p) + (n - k) * math.log(1 - p)
+
+
 def split_sentences(texts: DataFrame, model: Model) -> DataFrame:
     """``(id, start_char, end_char)`` of ``texts(id, text)``."""
 
