@@ -17,7 +17,7 @@ _INDENTED = re.compile(r"(?:\A|\n[ \t]*\n)((?:(?: {4}|\t)[^\n]*(?:\n[ \t]*)*(?:\
 #: A line of bare code: a prompt, a statement, or a quoted literal that is operated on.
 _LINE = re.compile(
     r"^(?:[ \t]+\S.*|>>> .*|\.\.\. .*|(?:def|class|for|while|if|with|elif|except|try|else|return|import|from|assert|print|raise|lambda|async|await)\b.*[:(='].*|from \w+ import .*|import [\w.]+"
-    r"|[\w.\[\]']+ (?:[-+*/]?=) .*|['\"][^'\"\n]*['\"] (?:in|==|\+|%) .*|\{['\"].*\}|@\w+.*|#[^#\n]*|.*[^\s]\(.*\)\s+# .*|[\w.]+\([^()\n]*\))$",
+    r"|[\w.\[\]']+ (?:[-+*/]?=) .*|['\"][^'\"\n]*['\"] (?:in|==|\+|%) .*|['\"][^'\"\n]*['\"]\.\w+\([^()\n]*\)|\{['\"].*\}|@\w+.*|#[^#\n]*|[\w.]+\([^()\n]*\))$",
     re.M,
 )
 
@@ -41,11 +41,23 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_CALL = re.compile(r"\S\(")
+_REMARK = re.compile(r"\)\s+# ")
+
+
+def _is_line(line: str) -> bool:
+    """Whether a line is code by its form, or a call with a remark after it."""
+    if _LINE.match(line):
+        return True
+    call = _CALL.search(line)
+    return bool(call) and any(m.start() > call.start() for m in _REMARK.finditer(line, call.end()))
+
+
 def _is_code(block: str) -> bool:
     if "(" not in block and "=" not in block and "'" not in block and '"' not in block and "#" not in block and "import" not in block:
         return False
     lines = [x for x in block.split("\n") if x.strip()]
-    return bool(lines) and bool(_LINE.match(lines[0])) and not lines[0].startswith((" ", "\t")) and all(_LINE.match(x) for x in lines)
+    return bool(lines) and _is_line(lines[0]) and not lines[0].startswith((" ", "\t")) and all(_is_line(x) for x in lines)
 
 
 def bare_code(body: str) -> list[tuple[int, int]]:

@@ -5,9 +5,13 @@ tells how well two of them go together.  Stretches that some inverse mapping
 would turn into valid text are left out of the counts, so garbled pairs gain no
 support from each other, while the same characters in sound words do.  A field
 is scored pair by pair; maximum-scoring segments isolate its improbable runs.
-Only there are inverse mappings tested: a run is restored by the mapping whose
-result has the best support in the counts, again and again for text that was
-garbled more than once.  Replacement characters mark what can't be restored.
+Only there are inverse mappings tested, all of them: each reading is scored by
+the likelihood of its pairs in the counts, without the field's own, and must be
+made of characters and pairs known from elsewhere.  The likeliest that beats
+the text as it stands is taken, again and again for text that was garbled more
+than once, until nothing changes.  What no reading holds up for is reported as
+it is and not as whole, like replacement characters, which mark lost text by
+themselves.
 
 Characters are counted one by one up to U+25FF and by blocks of 256 beyond, so
 the table of counts is bounded by the alphabet and not by the rows.
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,6 +43,8 @@ from rankmill.sources.tables import load
 WRONG = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "koi8_r", "iso8859_15")
 #: Encodings of scripts without Latin letters, and those they may have been read in.
 SINGLE = tuple((o, i) for o in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r") for i in ("cp1251", "koi8_r", "cp866", "iso8859_5", "cp1253", "cp1255", "cp1256") if o != i)
+PAIRED = {o: [i for x, i in SINGLE if x == o] for o, _ in SINGLE}
+USUAL = ("cp1252", "latin-1")
 LOST = "�"
 
 
@@ -125,6 +132,11 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+#: Weight of the prior, in pairs, when a conditional probability is estimated.
+PRIOR = 1.0
+NO_PAIRS: dict[tuple[int, int], int] = {}
+
+
 @dataclass
 class Model:
     pair: dict[tuple[int, int], int]
@@ -141,19 +153,39 @@ class Model:
             right[b] += n
         return cls(pair, dict(left), dict(right), sum(pair.values()))
 
+    def given(self, a: int, b: int, own: dict[tuple[int, int], int] = NO_PAIRS) -> tuple[float, float]:
+        """Log of the probability that b follows a, and of that of b alone; ``own`` pairs are taken out of the counts."""
+        k = own.get((a, b), 0) if own else 0
+        alone = (max(self.right.get(b, 0) - k, 0) + 0.5) / (self.total + 0.5 * (len(self.right) + 1))
+        return math.log((max(self.pair.get((a, b), 0) - k, 0) + PRIOR * alone) / (max(self.left.get(a, 0) - k, 0) + PRIOR)), math.log(alone)
+
     def improbable(self, a: int, b: int) -> float:
-        """Positive for two characters that don't go together: no support, less mutual information."""
+        """Positive for two characters that don't go together: their mutual information turned round.
+
+        It is the logarithm of a ratio of probabilities, so its sign does not hang on
+        the size of the collection.  A character never seen in sound text tells
+        nothing about its neighbours and is improbable by itself.
+        """
         if a < 128 and b < 128:
             return -0.5
-        n = self.pair.get((a, b), 0)
-        pmi = math.log((n + 0.5) * max(self.total, 1) / ((self.left.get(a, 0) + 0.5) * (self.right.get(b, 0) + 0.5)))
-        return max(-3.0, 1.0 - 1.2 * math.log1p(n) - 0.3 * min(max(pmi, 0.0), 4.0) * (n > 0))
+        if (a > 127 and a not in self.left and a not in self.right) or (b > 127 and b not in self.right and b not in self.left):
+            return 1.0
+        both, alone = self.given(a, b)
+        return min(3.0, max(-3.0, alone - both - 0.3))
 
-    def support(self, s: str) -> float:
-        """Share of the text's pairs with non-ASCII that the corpus has."""
+    def pairs_of(self, s: str) -> list[tuple[int, int]]:
         c = _class(_points(s)).tolist()
-        pairs = [(x, y) for x, y in zip(c, c[1:], strict=False) if x > 127 or y > 127]
-        return sum(p in self.pair for p in pairs) / len(pairs) if pairs else 0.0
+        return [(x, y) for x, y in zip(c, c[1:], strict=False) if x > 127 or y > 127]
+
+    def support(self, s: str, own: dict[tuple[int, int], int] = NO_PAIRS) -> float:
+        """Share of the text's pairs with non-ASCII that the corpus has elsewhere."""
+        pairs = self.pairs_of(s)
+        return sum(self.pair.get(p, 0) > own.get(p, 0) for p in pairs) / len(pairs) if pairs else 0.0
+
+    def likelihood(self, s: str, own: dict[tuple[int, int], int] = NO_PAIRS) -> float:
+        """Mean log-probability of the text's pairs with non-ASCII."""
+        pairs = self.pairs_of(s)
+        return sum(self.given(a, b, own)[0] for a, b in pairs) / len(pairs) if pairs else -30.0
 
 
 def improbable_runs(text: str, model: Model) -> list[tuple[int, int]]:
@@ -178,82 +210,111 @@ def improbable_runs(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def _restore_once(text: str, model: Model, outside: str) -> str:
-    """One round of inverse mappings inside improbable runs; ``outside`` is the text with code blanked."""
+#: A reading must be at least this much likelier per pair than the text as it stands.
+GAIN = 1.0
+#: Mean log-probability of a pair below which a run may be of another script altogether.
+DOUBT = -4.0
+
+
+def _readings(run: str, doubtful: bool) -> Iterator[tuple[str, list[str], float]]:
+    """What inverse mappings make of a run: the new text, the characters that are new, and the share of the run they came from."""
+    foreign = sum(ch > "\x7f" for ch in run)
+    for codec in WRONG:
+        raw = _as_bytes(run, codec)
+        found = _sequences(raw, codec)
+        if not found:
+            continue
+        share = sum(b - a for a, b in found) / foreign
+        if share < (0.34 if codec in USUAL else 0.6):
+            continue
+        fixed = [raw[a:b].encode("latin-1").decode("utf-8") for a, b in found]
+        out, at = [], 0
+        for (x, y), ch in zip(found, fixed, strict=True):
+            out += [run[at:x], ch]
+            at = y
+        yield "".join([*out, run[at:]]), fixed, share
+    if foreign < 3 or not doubtful:
+        return
+    stretches = list(_NON_ASCII.finditer(run))
+    for outer, inners in PAIRED.items():
+        raw = [_as_bytes(m.group(0), outer) for m in stretches]
+        raw = [None if "\0" in r else r.encode("latin-1") for r in raw]
+        if not any(raw):
+            continue
+        for inner in inners:
+            parts, at = [], 0
+            for m, r in zip(stretches, raw, strict=True):
+                parts += [run[at : m.start()], m.group(0) if r is None else r.decode(inner, "replace")]
+                at = m.end()
+            made = "".join([*parts, run[at:]])
+            new = _ALIEN.findall(made)
+            if made == run or LOST in made or not new or not all(w.isalpha() and (w[1:] == w[1:].lower() or w == w.upper()) for w in new):
+                continue
+            yield made, [c for w in new for c in w], 1.0
+
+
+def _is_text(ch: str) -> bool:
+    return unicodedata.category(ch)[0] in "LNPSM" and unicodedata.category(ch) not in ("Co", "Cn")
+
+
+def _restore_once(text: str, model: Model, outside: str, own: dict) -> tuple[str, bool]:
+    """One round of inverse mappings inside improbable runs, and whether a run is garbled that none of them restores; ``outside`` is the text with code blanked."""
+    broken = False
     for lo, hi in reversed(improbable_runs(outside, model)):
         while lo > 0 and outside[lo - 1] > "\x7f":
             lo -= 1
         while hi < len(outside) and outside[hi] > "\x7f":
             hi += 1
-        run = text[lo:hi]
-        best, gain, own = None, 0.0, model.support(run)
-        for codec in WRONG:
-            raw = _as_bytes(run, codec)
-            found = _sequences(raw, codec)
-            if not found:
-                continue
-            share = sum(b - a for a, b in found) / sum(ch > "\x7f" for ch in run)
-            fixed = [raw[a:b].encode("latin-1").decode("utf-8") for a, b in found]
-            known = sum(int(_class(_points(ch))[0]) in model.left for ch in fixed) / len(fixed)
-            usual = codec in ("cp1252", "latin-1")
-            if share < (0.34 if usual else 0.6) or (known < 0.8 and not usual):
-                continue
-            out, at = [], 0
-            for (x, y), ch in zip(found, fixed, strict=True):
-                out += [run[at:x], ch]
-                at = y
-            done = "".join([*out, run[at:]])
-            sound = sum(not "\x80" <= ch < "\xa0" for ch in fixed) / len(fixed)
-            value = model.support(done) + 0.5 * share + 0.3 * known + 0.2 * sound
-            if value > gain and (usual or model.support(done) >= own):
-                best, gain = done, value
-        if best is None or model.support(best) < 0.9:
-            alien = _restore_alien(run, model)
-            if alien is not None and (best is None or model.support(alien) > model.support(best)):
-                best = alien
-        if best is not None and best != run:
+        a, b = max(lo - 1, 0), min(hi + 1, len(text))  # with a neighbour on each side
+        run, before, after = text[lo:hi], text[a:lo], text[hi:b]
+        best, value, seen, sure, todo = None, 0.0, {run}, False, [run]
+        now = model.likelihood(before + run + after, own)
+        while todo:
+            old = todo.pop()
+            for made, fresh, share in _readings(old, now < DOUBT):
+                if made in seen:
+                    continue
+                seen.add(made)
+                if len(made) < len(old):  # it may have been garbled more than once
+                    todo.append(made)
+                known = sum((c := int(_class(_points(ch))[0])) in model.left or c in model.right for ch in fresh) / len(fresh)
+                gain = model.likelihood(before + made + after, own) - now
+                if known >= 0.8 and gain >= GAIN and model.support(before + made + after, own) >= 0.6:
+                    if gain + 0.5 * share > value:
+                        best, value = made, gain + 0.5 * share
+                elif old is run and share >= 0.5 and all(map(_is_text, fresh)) and _is_sure(run):
+                    sure = True
+        if best is not None:
             text = text[:lo] + best + text[hi:]
-    return text
-
-
-def _restore_alien(run: str, model: Model) -> str | None:
-    """Words of letters beyond ASCII alone that read as another script in a single-byte encoding."""
-    words = _ALIEN.findall(run)
-    if not words or sum(map(len, words)) < 3:
-        return None
-    own = max(model.support(w) for w in words)
-    best, value = None, max(0.6, own + 0.3)
-    for outer, inner in SINGLE:
-        def back(m: re.Match, o=outer, i=inner) -> str:
-            raw = _as_bytes(m.group(0), o)
-            return m.group(0) if "\0" in raw else raw.encode("latin-1").decode(i, "replace")
-
-        made = _NON_ASCII.sub(back, run)
-        new = [w for w in _ALIEN.findall(made)]
-        if made == run or LOST in made or not new or not all(w.isalpha() for w in new):
-            continue
-        s = sum(model.support(w) * len(w) for w in new) / sum(map(len, new))
-        mixed = sum(w != w.lower() and w[1:] != w[1:].lower() for w in new) / len(new)
-        if s - 0.5 * mixed > value:
-            best, value = made, s - 0.5 * mixed
-    return best
+        elif sure:
+            broken = True
+    return text, broken
+
+
+def _is_sure(run: str) -> bool:
+    """UTF-8 read as one of the usual encodings shows by itself: a lead byte's letter is followed by a sign that no word has there."""
+    return any(not ch.isalpha() for c in USUAL for a, b in _sequences(_as_bytes(run, c), c) for ch in run[a + 1 : b])
+
 
+def restore(text: str | None, model: Model) -> tuple[bool, str | None, bool]:
+    """Whether the text is garbled, what could be regained of it, and whether that is all of it.
 
-def restore(text: str | None, model: Model, rounds: int = 4) -> tuple[bool, str | None]:
-    """Whether the text is garbled, and what could be regained of it."""
+    Rounds go on until nothing changes or a state comes back.
+    """
     if not text or text.isascii():
-        return False, text
-    spans = code_spans(text)
-    outside = without(text, spans, "\n")
+        return False, text, True
+    outside = without(text, code_spans(text), "\n")
     lost = LOST in outside
-    now = text
-    for _ in range(rounds):
-        new = _restore_once(now, model, outside)
-        if new == now:
+    own = Counter(model.pairs_of(_excluded(outside)))
+    now, states, broken = text, {text}, False
+    while True:
+        new, broken = _restore_once(now, model, outside, own)
+        if new in states:
             break
+        states.add(new)
         now = new
         outside = without(now, code_spans(now), "\n")
-    return lost or now != text, now
+    return lost or broken or now != text, now, not (lost or broken)
 
 
 def find_garbled(fields: DataFrame) -> DataFrame:
@@ -264,8 +325,8 @@ def find_garbled(fields: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [restore(t, model) for t in pdf["text"]]
-            out = pdf[["table_name", "record_id", "field_name"]].assign(restored=[r for _, r in got])
-            yield out.assign(is_whole=[LOST not in r for r in out["restored"]])[[g for g, _ in got]]
+            out = pdf[["table_name", "record_id", "field_name"]].assign(restored=[r for _, r, _ in got], is_whole=[w for *_, w in got])
+            yield out[[g for g, *_ in got]]
 
     return foreign.mapInPandas(run, "table_name string, record_id long, field_name string, restored string, is_whole boolean")
 
