@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from rankmill.llm.code_spans import bare_code, marked_code, without
 from rankmill.llm.mincut import min_cut
+from rankmill.session import Scratch
 from rankmill.sources.tables import load
 
 TAGS = (
@@ -63,7 +64,8 @@ _MD = tuple((guard, re.compile(p, re.M)) for guard, p in (
     ((">",), r"^>(?!>)[ \t]?\S"),
     (("~~",), r"~~(?=\S)[^~\n]+(?<=\S)~~"),
 ))
-_FORMULA = re.compile(r"\$\$(?!\s*\$)(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|(?<![\\$\w])\$(?![\s$])([^$\n]+?)(?<![\s\\])\$(?![\d$])", re.S)
+_INLINE = re.compile(r"(?<![\\$\w])\$(?![\s$])([^$\n]+?)(?<![\s\\])\$(?![\d$])")
+_DELIMITERS = (("$$", "$$"), ("\\[", "\\]"), ("\\(", "\\)"))
 _MATH = re.compile(r"\\[A-Za-z]+|[\^=<>|]|_[A-Za-z0-9{]|[A-Za-z0-9)]\s*[-+*/]\s*[A-Za-z0-9(]|^[A-Za-z]$|\([A-Za-z0-9]+\)")
 _COMMAND = re.compile(r"\\(?:[A-Za-z]+\*?(?=[\[{])|(?:%s)(?![A-Za-z\\]))" % "|".join(BARE))
 _WEAK = {
@@ -73,6 +75,8 @@ _WEAK = {
 }
 #: Costs (as markup, as a literal) of signs that are clear by form, and of those that plain text has too.
 CLEAR, FAINT, HALF = (0.1, 3.0), (1.2, 0.9), (0.8, 1.0)
+#: Ids with repeated rows up to which they are broadcast.
+REPEATED = 1_000_000
 #: What ties a sign to the next of its kind.
 TIE = 0.7
 
@@ -95,6 +99,31 @@ def code_marks(body: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, s
             yield a, "markdown", HALF
 
 
+def formulas(text: str) -> list[tuple[int, int, str]]:
+    """Delimited formulas as (start, end, inner text), ascending and apart; one pass per kind of delimiter, whatever is left open."""
+    found = []
+    for opener, closer in _DELIMITERS:
+        at = text.find(opener)
+        while at >= 0:
+            end = text.find(closer, at + 2)
+            if end < 0:
+                break
+            inner = text[at + 2 : end]
+            if inner.strip():
+                found.append((at, end + 2, inner))
+                at = text.find(opener, end + 2)
+            else:  # the second sign may open
+                at = text.find(opener, at + 2)
+    if "$" in text:
+        found += [(m.start(), m.end(), m.group(1)) for m in _INLINE.finditer(text)]
+    found.sort()
+    out: list[tuple[int, int, str]] = []
+    for a, b, inner in found:
+        if not out or a >= out[-1][1]:
+            out.append((a, b, inner))
+    return out
+
+
 def candidates(body: str) -> list[tuple[int, str, tuple[float, float]]]:
     """``(offset, kind, costs)`` of every sign outside code that may be markup."""
     spans = marked_code(body)
@@ -111,10 +140,9 @@ def candidates(body: str) -> list[tuple[int, str, tuple[float, float]]]:
         if any(g in text for g in guard):
             out += [(m.start(), "markdown", CLEAR) for m in p.finditer(text)]
     if "\\" in text or "$" in text:
-        for m in _FORMULA.finditer(text):
-            inner = next(g for g in m.groups() if g is not None)
+        for a, _, inner in formulas(text):
             if "\n\n" not in inner and _MATH.search(inner.strip()):
-                out.append((m.start(), "latex", CLEAR))
+                out.append((a, "latex", CLEAR))
         out += [(m.start(), "latex", CLEAR) for m in _COMMAND.finditer(text)]
     if not {line[:1] for line in text.split("\n")}.isdisjoint("-+*#:;0123456789 \t"):
         clear = {kind for _, kind, _ in out}
@@ -248,8 +276,12 @@ def _inline(text: str, held: list[str]) -> str:
         text = re.sub(r"~~(?=\S)([^~\n]+)~~", r"\1", text)
     if "latex" in held:
         text = re.sub(r"\\(?:texttt|textbf|textit|emph|underline|textsc|url|footnote|ref|cite|label)\{((?:[^{}]|\\[{}])*)\}", r"\1", text)
-        text = re.sub(r"\\\((.+?)\\\)", r"$\1$", text, flags=re.S)
-        text = re.sub(r"\\\[(.+?)\\\]", r"$$\1$$", text, flags=re.S)
+        parts, at = [], 0
+        for a, b, inner in formulas(text):
+            sign = "$$" if text[a : a + 2] in ("$$", "\\[") else "$"
+            parts += [text[at:a], sign, inner, sign]
+            at = b
+        text = "".join([*parts, text[at:]])
         text = re.sub(r"\\verb\*?([^\w\s*{])(.*?)\1", r"`\2`", text)
         text = re.sub(r"\\([_%&#{}])", r"\1", text)
     return text
@@ -379,7 +411,12 @@ def clean_bodies(bodies: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pdf[["table_name", "record_id"]].assign(clean_text=[clean(b) for b in pdf["body"]])
 
-    return bodies.mapInPandas(run, "table_name string, record_id long, clean_text string").distinct()
+    # rows repeated under one id are found by id and hash, and only those are shuffled before they are cleaned
+    again = Scratch(bodies.sparkSession, "bodies").write(bodies.groupBy("table_name", "record_id").agg(F.count("*").alias("n")).filter("n > 1").select("table_name", "record_id"))
+    few = F.broadcast(again) if again.count() <= REPEATED else again
+    keys = ["table_name", "record_id"]
+    cleaned = lambda df: df.mapInPandas(run, "table_name string, record_id long, clean_text string")
+    return cleaned(bodies.join(few, keys, "left_anti")).unionByName(cleaned(bodies.join(few, keys, "left_semi").distinct()).distinct())
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
