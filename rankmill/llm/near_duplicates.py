@@ -6,9 +6,10 @@ texts that agree in at least ``agree`` bands are candidates, which is the
 signature check.  Candidates are verified on the whole sets, verified links are
 joined to groups by alternating large-star and small-star.
 
-With 4 rows, 64 bands and 2 agreeing bands, a pair of likeness 0.6 is found
-with probability 0.9985, one of 0.65 with 0.99995.  Exact copies are collapsed
-to one representative first.  A band value shared by more than ``block``
+With 4 rows, 80 bands and 2 agreeing bands, a pair of likeness 0.6 is found
+with probability 0.9998, one of 0.65 with 0.999999.  A band's value keeps 48
+bits, since two chance agreements of one pair are needed to make it a candidate.
+Exact copies are collapsed to one representative first.  A band value shared by more than ``block``
 representatives is split into blocks, and blocks are paired in separate tasks,
 so no task holds an unbounded group.  Copies listed as such are joined by a
 broadcast only below ``broadcast_rows`` rows, else by a shuffle.
@@ -42,7 +43,7 @@ class Settings:
     threshold: float = 0.8
     run: int = 5
     rows: int = 4
-    bands: int = 64
+    bands: int = 80
     agree: int = 2
     block: int = 2000
     broadcast_rows: int = 100_000
@@ -68,7 +69,7 @@ def band_values(runs: np.ndarray, counts: np.ndarray, s: Settings, salt: int) ->
             v = np.full(to - at, salt * 1000 + b + 1, np.uint64)
             for k in range(b * s.rows, (b + 1) * s.rows):
                 v = mix(v + np.minimum.reduceat((x * mul[k] + add[k]) >> np.uint64(32), starts))
-            out[at:to, b] = v
+            out[at:to, b] = v >> np.uint64(16)
         at = to
     return out
 
@@ -79,12 +80,19 @@ def _texts(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
 
 
 def text_classes(texts: DataFrame, n_fields: int, run: int) -> DataFrame:
-    """``(field, id, h, rep)``: classes of equal texts, named by the least id; texts of fewer than ``run`` words are left out."""
+    """``(field, id, h, rows)``: the hash that stands for an id's text, and in how many rows it has one; texts of fewer than ``run`` words are left out."""
     enough = r"([\p{L}\p{N}_]+[^\p{L}\p{N}_]+){%d}[\p{L}\p{N}_]" % (run - 1) if run > 1 else r"[\p{L}\p{N}_]"
     long = texts.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.when(F.col(f"f{i}").rlike(enough), F.xxhash64(f"f{i}")).alias("h")) for i in range(n_fields)])).alias("x")).select("id", "x.*")
-    one = long.filter("h is not null").groupBy("field", "id").agg(F.min("h").alias("h"))
-    least = one.groupBy("field", "h").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    return one, least
+    one = long.filter("h is not null").groupBy("field", "id").agg(F.min("h").alias("h"), F.count("*").alias("rows"))
+    return one
+
+
+def _once(texts: DataFrame, one: DataFrame, n_fields: int, s: Settings, scratch: Scratch) -> DataFrame:
+    """``texts`` with one row per id: of an id's repeated rows, each field is the text with the least hash, as in ``text_classes``."""
+    again = scratch.write(one.filter("rows > 1").select("id").distinct())
+    few = F.broadcast(again) if again.count() <= s.broadcast_rows else again
+    merged = texts.join(few, "id", "left_semi").groupBy("id").agg(*[F.min_by(f"f{i}", F.xxhash64(f"f{i}")).alias(f"f{i}") for i in range(n_fields)])
+    return texts.join(few, "id", "left_anti").unionByName(merged)
 
 
 def _bands(texts: DataFrame, n_fields: int, skip_cols: list[str], s: Settings) -> DataFrame:
@@ -201,7 +209,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n_fields: int, s: Settings, sc
                 yield pa.RecordBatch.from_arrays([pa.array(ids[have]), pa.array(np.full(len(have), i, np.int32)), pa.array(blobs, pa.binary())], ["id", "field", "runs"])
 
     # sets are kept by id, not by pair: each is computed once, whatever the number of its candidates
-    own = scratch.write(these.mapInArrow(sets, "id long, field int, runs binary").dropDuplicates(["id", "field"]))
+    own = scratch.write(these.mapInArrow(sets, "id long, field int, runs binary"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -230,7 +238,9 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], settings: Set
     scratch = Scratch(spark, "near")
     texts = _texts(df, id_col, fields)
     n = len(fields)
-    one, least = text_classes(texts, n, s.run)
+    one = scratch.write(text_classes(texts, n, s.run))
+    least = one.groupBy("field", "h").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    texts = _once(texts, one, n, s, scratch)
     members = scratch.write(one.join(least.filter("n > 1"), ["field", "h"], "left").select("field", "id", "h", F.coalesce("rep", "id").alias("rep")))
     copies = scratch.write(members.filter("id <> rep").groupBy("id").agg(*[F.max(F.col("field") == i).alias(f"s{i}") for i in range(n)]))
     small = copies.count() <= s.broadcast_rows
