@@ -4,7 +4,10 @@ The shard's texts are written one after another, each closed by its own
 separator.  Kept are: the sorted vocabulary (64-bit word hashes), the
 Burrows-Wheeler transform as one ascending list of positions per symbol (which
 makes a rank a binary search), every ``STEP``-th suffix position, and the
-texts' starts.  That is about 4.5 bytes a word plus 8 per distinct word.
+texts' starts and lengths.  That is 4.6 bytes a word, 16 per distinct word and
+40 per text on disk; the texts themselves are not kept, ``extract`` walks them
+out of the transform.  Loaded, the positions are held as 64-bit keys and the
+transform as 32-bit symbols besides, 17 bytes a word in all.
 
 Backward search runs for all patterns of a batch at once: a step is two binary
 searches per pattern still alive.
@@ -48,8 +51,8 @@ class FMIndex:
         self._keys = sym * (self.n + 1) + self.places.astype(np.int64)
 
     @classmethod
-    def build(cls, words: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> FMIndex:
-        """``words``: hashes of all texts' words in a row; ``lengths``: words per text; ``ids``: the texts' names."""
+    def build(cls, words: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray | None = None) -> FMIndex:
+        """``words``: hashes of all texts' words in a row; ``lengths``: words per text; ``ids``: the texts' names; ``sizes``: a number to keep per text."""
         n_texts = len(lengths)
         vocab, code = np.unique(words, return_inverse=True)
         starts = np.cumsum(lengths + 1) - (lengths + 1)
@@ -66,7 +69,7 @@ class FMIndex:
         marked = (sa % STEP == 0)
         return cls({
             "size": np.array([len(s)], np.int64), "vocab": vocab, "first": first, "places": places, "starts": starts.astype(np.int64), "lengths": lengths.astype(np.int64),
-            "ids": ids.astype(np.int64), "marked": np.packbits(marked), "samples": sa[marked].astype(np.uint32), "text": s.astype(np.uint32),
+            "ids": ids.astype(np.int64), "sizes": (lengths if sizes is None else sizes).astype(np.int64), "marked": np.packbits(marked), "samples": sa[marked].astype(np.uint32),
         })
 
     def dump(self) -> bytes:
@@ -112,12 +115,10 @@ class FMIndex:
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Positions in the shard's text of suffix rows, walking back to a sampled one."""
+        self._transform()
         if not hasattr(self, "_mark"):
             self._mark = np.unpackbits(self.marked)[: self.n].astype(bool)
-            self._upto = np.cumsum(self._mark) - 1
-            sym = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-            self._bwt = np.empty(self.n, np.int64)
-            self._bwt[self.places] = sym
+            self._upto = np.cumsum(self._mark, dtype=np.uint32) - 1
         rows = rows.astype(np.int64).copy()
         out, todo, walked = np.zeros(len(rows), np.int64), np.arange(len(rows)), 0
         while len(todo):
@@ -126,10 +127,33 @@ class FMIndex:
             out[done] = self.samples[self._upto[rows[done]]] + walked
             todo = todo[~hit]
             r = rows[todo]
-            rows[todo] = np.searchsorted(self._keys, self._bwt[r] * (self.n + 1) + r)
+            rows[todo] = np.searchsorted(self._keys, self._bwt[r].astype(np.int64) * (self.n + 1) + r)
             walked += 1
         return out
 
+    def _transform(self) -> None:
+        if not hasattr(self, "_bwt"):
+            self._bwt = np.empty(self.n, np.uint32)
+            self._bwt[self.places] = np.repeat(np.arange(len(self.first) - 1, dtype=np.uint32), np.diff(self.first))
+
+    def extract(self, texts: np.ndarray) -> list[np.ndarray]:
+        """The word hashes of whole texts, walked backward from their separators, all at once."""
+        self._transform()
+        lengths = self.lengths[texts]
+        cut = np.r_[0, np.cumsum(lengths)]
+        out = np.empty(cut[-1], np.uint64)
+        rows, at, left = texts.astype(np.int64), cut[1:].copy(), np.flatnonzero(lengths > 0)  # a separator's suffix sorts at the text's own number
+        gone = np.zeros(len(texts), np.int64)
+        while len(left):
+            r = rows[left]
+            sym = self._bwt[r].astype(np.int64)
+            at[left] -= 1
+            out[at[left]] = self.vocab[sym - len(self.starts)]
+            rows[left] = np.searchsorted(self._keys, sym * (self.n + 1) + r)
+            gone[left] += 1
+            left = left[gone[left] < lengths[left]]
+        return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
     def text_at(self, position: np.ndarray) -> np.ndarray:
         """Which text a position belongs to."""
         return np.searchsorted(self.starts, position, side="right") - 1

@@ -10,8 +10,11 @@ From those counts follows which windows must be located.  A record with x
 distinct windows that has a likeness of t with another shares at least t * x of
 them, so at least one of any x - ceil(t * x) + 1; the rarest are taken, where
 absent ones come first.  Most records lack enough windows to need no lookup at
-all.  Located windows name candidates; these are compared on their whole sets,
-and neighbouring windows are merged into maximal matches and covered spans.
+all.  Located windows name candidates.  A candidate must have been met in as
+many windows as the threshold asks for beyond those not looked up; the others
+are never compared.  What remains is walked out of the index and compared on
+whole sets, and neighbouring windows are merged into maximal matches and
+covered spans.
 
 The evaluation side is the stated query set: cost is training words times
 shards, and nothing grows with the number of pairs that don't match.
@@ -49,6 +52,7 @@ class Settings:
     run: int = 5
     shard_chars: int = 8_000_000
     chunk_words: int = 2_000_000
+    located: int = 2_000_000  # occurrences looked up at a time
     unescape: bool = False
 
 
@@ -66,7 +70,8 @@ def build_shards(evaluation: DataFrame, s: Settings, scratch: Scratch) -> tuple[
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = [_tokens(t, s) for t in pdf["text"]]
-        ix = FMIndex.build(hash_words([w for t in tokens for w in t]), np.fromiter(map(len, tokens), np.int64, len(tokens)), pdf["rep"].to_numpy())
+        h, n = hash_words([w for t in tokens for w in t]), np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ix = FMIndex.build(h, n, pdf["rep"].to_numpy(), sets_of_runs(*_runs(h, n, s.run)[:2])[1])
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "blob": [ix.dump()]})
 
     made = texts.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, blob binary")
@@ -99,6 +104,14 @@ def _matches(a: np.ndarray, b: np.ndarray, run: int) -> tuple[int, int, int]:
     return len(starts), int((np.cumsum(cover) > 0).sum()), int(size.max()) + run - 1
 
 
+def _runs(h: np.ndarray, n: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of texts whose word hashes lie in a row, their number per text, and where each begins."""
+    have = np.maximum(n - run + 1, 0)
+    at = np.repeat(np.cumsum(n) - n - (np.cumsum(have) - have), have) + np.arange(have.sum())
+    runs = run_hashes(h, run)
+    return runs[at] if len(runs) else runs, have, at
+
+
 class _Chunk:
     """Some training texts: words in a row, and distinct windows per text."""
 
@@ -107,11 +120,7 @@ class _Chunk:
         n = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.words = hash_words([w for t in tokens for w in t])
         self.owner = np.repeat(np.arange(len(n)), n)
-        self.starts = np.cumsum(n) - n
-        have = np.maximum(n - s.run + 1, 0)
-        runs = run_hashes(self.words, s.run)
-        self.at = np.repeat(self.starts - (np.cumsum(have) - have), have) + np.arange(have.sum())
-        self.runs, self.have = runs[self.at] if len(runs) else runs, have
+        self.runs, have, self.at = _runs(self.words, n, s.run)
         self.sets, self.sizes = sets_of_runs(self.runs, have)
         self.cut = np.r_[0, np.cumsum(self.sizes)]
         self.ends = np.r_[0, np.cumsum(have)]
@@ -134,23 +143,46 @@ class _Chunk:
         lo, count, owner = lo[take], count[take], owner[take]
         if not len(lo):
             return
-        rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        text = ix.text_at(ix.locate(rows))
-        pairs = np.unique(np.repeat(owner, count) * len(ix.starts) + text)
-        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for p in pairs:
-            t, e = divmod(int(p), len(ix.starts))
-            if e not in known:
-                at = ix.starts[e]
-                r = run_hashes(ix.vocab[ix.text[at : at + ix.lengths[e]].astype(np.int64) - len(ix.starts)], s.run)
-                known[e] = (r, np.unique(r))
-            r, distinct = known[e]
-            own = self.sets[self.cut[t] : self.cut[t + 1]]
-            if min(len(own), len(distinct)) < s.threshold * max(len(own), len(distinct)) - 1e-9:
-                continue
-            value = likeness(own, distinct)
-            if value >= s.threshold - 1e-12:
-                yield (int(self.ids[t]), int(ix.ids[e]), value, *_matches(self.runs[self.ends[t] : self.ends[t + 1]], r, s.run))
+        spare = present - np.minimum(need, present)  # windows in the shard that are not looked up
+        for t, e in self._candidates(ix, lo, count, owner, spare, s):
+            known = dict(zip(np.unique(e).tolist(), ix.extract(np.unique(e)), strict=True))
+            runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for i, j in zip(t.tolist(), e.tolist(), strict=True):
+                if j not in runs:
+                    r = run_hashes(known[j], s.run)
+                    runs[j] = (r, np.unique(r))
+                r, distinct = runs[j]
+                value = likeness(self.sets[self.cut[i] : self.cut[i + 1]], distinct)
+                if value >= s.threshold - 1e-12:
+                    yield (int(self.ids[i]), int(ix.ids[j]), value, *_matches(self.runs[self.ends[i] : self.ends[i + 1]], r, s.run))
+
+    def _candidates(self, ix: FMIndex, lo, count, owner, spare, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (training text, evaluation text) that can reach the threshold, a bounded number of occurrences at a time.
+
+        A pair with sets of x and y windows shares at least t / (1 + t) * (x + y) of
+        them.  At most ``spare`` of these were not looked up, so the rest must have
+        been met; and neither set is smaller than t times the other.  Only pairs that
+        pass are walked out of the index.
+        """
+        ends = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True]) + 1  # lookups of one text stay together
+        total = np.cumsum(count)
+        start = 0
+        while start < len(owner):
+            base = total[start - 1] if start else 0
+            stop = int(ends[max(np.searchsorted(ends, np.searchsorted(total, base + s.located, "right"), "right") - 1, np.searchsorted(ends, start, "right"))])
+            n, o = count[start:stop], owner[start:stop]
+            rows = np.repeat(lo[start:stop] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            text = ix.text_at(ix.locate(rows))
+            # a window that occurs twice in one text counts once
+            met = np.unique(np.repeat(np.arange(start, stop), n) * len(ix.starts) + text)
+            pair, hits = np.unique(owner[met // len(ix.starts)] * len(ix.starts) + met % len(ix.starts), return_counts=True)
+            t, e = pair // len(ix.starts), pair % len(ix.starts)
+            x, y = self.sizes[t], ix.sizes[e]
+            least = np.ceil(s.threshold / (1 + s.threshold) * (x + y) - 1e-9)
+            ok = (np.minimum(x, y) >= s.threshold * np.maximum(x, y) - 1e-9) & (hits >= least - spare[t])
+            if ok.any():
+                yield t[ok], e[ok]
+            start = stop
 
 
 def stream(training: DataFrame, shards: DataFrame, s: Settings) -> DataFrame:
@@ -227,4 +259,14 @@ def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts}
-SQL: dict[str, str] = {}
+#: The references that the tables' titles hold, for the SQL, which cannot decode all.
+_DECODED = "replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;', '&')"
+SQL: dict[str, str] = {
+    "p1_found": r"""with s as (select query_id, split = 'train' as train from splits where split in ('train', 'val', 'test')),
+t as (select distinct 'title' as field_name, 1 as k, id, DECODED as s, train from questions join s on s.query_id = id union all select distinct 'text', 3, doc_id, text, train from corpus join s on s.query_id = question_id),
+w as (select *, regexp_extract_all(lower(s), '[\p{L}\p{N}_]+') as w, row_number() over () as tid from t where s is not null),
+r as (select distinct field_name, id, tid, train, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as run from w where len(w) >= k),
+n as (select tid, count(*) as n from r group by tid),
+c as (select a.field_name, a.tid as ta, b.tid as tb, a.id as x, b.id as y, count(*) as c from r a join r b on a.field_name = b.field_name and a.run = b.run and a.train and not b.train group by all)
+select distinct field_name, least(x, y) as id_a, greatest(x, y) as id_b from c join n p on p.tid = ta join n q on q.tid = tb where x <> y and c / (p.n + q.n - c) >= 0.7""".replace("DECODED", _DECODED),
+}
