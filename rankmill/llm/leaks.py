@@ -235,4 +235,9 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
-SQL: dict[str, str] = {}
+_GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) as g"
+SQL: dict[str, str] = {
+    "p8_found": rf"""with d as (select doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') as w from documents), p as (select item_id, regexp_extract_all(lower(passage), '[\p{{L}}\p{{N}}_]+') as w from eval_passages),
+x as (select distinct doc_id, {_GRAMS} from d where len(w) >= 12), y as (select distinct item_id, {_GRAMS} from p where len(w) >= 12)
+select distinct item_id, doc_id from x join y using (g)""",
+}

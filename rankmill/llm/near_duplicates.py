@@ -313,4 +313,11 @@ def p7_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_groups": p7_groups}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p7_found": r"""with t as (select 'text' as field_name, doc_id as id, min(text) as s from corpus group by doc_id union all select 'answer_body', doc_id, min(answer_body) from corpus group by doc_id),
+w as (select field_name, id, regexp_extract_all(lower(s), '[\p{L}\p{N}_]+') as w from t),
+r as (select distinct field_name, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as run from w where len(w) >= 3),
+n as (select field_name, id, count(*) as n from r group by all),
+c as (select a.field_name, a.id as id_a, b.id as id_b, count(*) as c from r a join r b on a.field_name = b.field_name and a.run = b.run and a.id < b.id group by all)
+select c.field_name, id_a, id_b from c join n x on x.field_name = c.field_name and x.id = id_a join n y on y.field_name = c.field_name and y.id = id_b where c / (x.n + y.n - c) >= 0.6""",
+}
