@@ -7,9 +7,9 @@ decimals so that the order does not hang on the order of summation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -154,6 +154,31 @@ def hash_embed(dim: int = 256, mode: str = "code"):
     return lambda text: encode(F.transform(term_bag(text, mode), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")))
 
 
+@cache
+def _loaded(make: Callable) -> Callable:
+    return make()
+
+
+def model_encoder(make: Callable[[], Callable[[list[str]], np.ndarray]], prefix: str = "", batch: int = 64):
+    """An encoder around a sentence model: ``make`` loads it once per worker process and gives a function of a list of texts.
+
+    ``prefix`` goes before each text, as some models want of queries.  Vectors are
+    brought to unit length; a NULL text is encoded as an empty one.
+    """
+
+    @F.pandas_udf("array<float>")
+    def encode(texts: pd.Series) -> pd.Series:
+        model, out = _loaded(make), []
+        rows = [prefix + (t or "") for t in texts]
+        for at in range(0, len(rows), batch):
+            v = np.asarray(model(rows[at : at + batch]), np.float32)
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            out += list(np.divide(v, n, out=np.zeros_like(v), where=n > 0))
+        return pd.Series(out)
+
+    return lambda text: encode(F.col(text) if isinstance(text, str) else text)
+
+
 def save_vectors(vectors: DataFrame, path: str) -> None:
     """Writes ``vectors(doc_id, embedding)`` as they lie."""
     vectors.select("doc_id", "embedding").write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -55,6 +55,22 @@ def encoded_topk(spark, d):
     return c._vectors(spark, d)
 
 
+def _toy_model():
+    """A stand-in for a sentence model: lengths and counts of two letters."""
+    import numpy as np
+
+    return lambda texts: np.array([[len(t), t.count("e"), t.count("a"), 1.0] for t in texts])
+
+
+@query("""with v as (select query_id, [length(t)::double, (length(t) - length(replace(t, 'e', '')))::double, (length(t) - length(replace(t, 'a', '')))::double, 1.0] as v from (select query_id, 'query: ' || coalesce(query_text, '') as t from splits))
+select query_id, round(v[1] / sqrt(list_dot_product(v, v)), 4) as first, round(v[2] / sqrt(list_dot_product(v, v)), 4) as second, len(v) as dim from v""")
+def encoder_hook(spark, d):
+    """Any model as the encoder, loaded once per worker process, with a prefix before queries."""
+    e = load(spark, d, "splits").select("query_id", retrieval.model_encoder(_toy_model, "query: ")("query_text").alias("v"))
+    at = lambda i: F.round(F.col("v")[i].cast("double"), 4)
+    return e.select("query_id", at(0).alias("first"), at(1).alias("second"), F.size("v").cast("long").alias("dim"))
+
+
 def _stump(feature: str, threshold: float, low: float, high: float, missing_left: bool) -> dict:
     return {"feature": [ltr.FEATURES.index(feature), -1, -1], "threshold": [threshold, 0.0, 0.0], "left": [1, -1, -1], "right": [2, -1, -1], "missing_left": [missing_left, True, True], "value": [0.0, low, high]}
 
