@@ -28,8 +28,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -100,6 +100,11 @@ def _points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
+@lru_cache(100_000)
+def _class_of(ch: str) -> int:
+    return int(_class(_points(ch))[0])
+
+
 def _excluded(text: str) -> str:
     """The text without code and without stretches that an inverse mapping may apply to."""
     spans = []
@@ -143,6 +148,8 @@ class Model:
     left: dict[int, int]
     right: dict[int, int]
     total: int
+    _given: dict[tuple[int, int], tuple[float, float]] = field(default_factory=dict)  # bounded like the pairs of classes
+    _bad: dict[tuple[int, int], float] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows) -> Model:
@@ -156,6 +163,14 @@ class Model:
     def given(self, a: int, b: int, own: dict[tuple[int, int], int] = NO_PAIRS) -> tuple[float, float]:
         """Log of the probability that b follows a, and of that of b alone; ``own`` pairs are taken out of the counts."""
         k = own.get((a, b), 0) if own else 0
+        if not k:
+            known = self._given.get((a, b))
+            if known is None:
+                known = self._given[a, b] = self._estimate(a, b, 0)
+            return known
+        return self._estimate(a, b, k)
+
+    def _estimate(self, a: int, b: int, k: int) -> tuple[float, float]:
         alone = (max(self.right.get(b, 0) - k, 0) + 0.5) / (self.total + 0.5 * (len(self.right) + 1))
         return math.log((max(self.pair.get((a, b), 0) - k, 0) + PRIOR * alone) / (max(self.left.get(a, 0) - k, 0) + PRIOR)), math.log(alone)
 
@@ -168,6 +183,12 @@ class Model:
         """
         if a < 128 and b < 128:
             return -0.5
+        known = self._bad.get((a, b))
+        if known is None:
+            known = self._bad[a, b] = self._score(a, b)
+        return known
+
+    def _score(self, a: int, b: int) -> float:
         if (a > 127 and a not in self.left and a not in self.right) or (b > 127 and b not in self.right and b not in self.left):
             return 1.0
         both, alone = self.given(a, b)
@@ -277,7 +298,7 @@ def _restore_once(text: str, model: Model, outside: str, own: dict) -> tuple[str
                 seen.add(made)
                 if len(made) < len(old):  # it may have been garbled more than once
                     todo.append(made)
-                known = sum((c := int(_class(_points(ch))[0])) in model.left or c in model.right for ch in fresh) / len(fresh)
+                known = sum((c := _class_of(ch)) in model.left or c in model.right for ch in fresh) / len(fresh)
                 gain = model.likelihood(before + made + after, own) - now
                 if known >= 0.8 and gain >= GAIN and model.support(before + made + after, own) >= 0.6:
                     if gain + 0.5 * share > value:
