@@ -343,8 +343,13 @@ def blocks(body: str, held: list[str]) -> list[tuple[str, str, tuple, int]]:
 
 
 def is_content(parts: list[tuple[str, str, tuple, int]]) -> list[bool]:
-    """Content (true) or boilerplate, by minimum cut over adjacency and DOM proximity."""
-    content, boiler, edges = [], [], []
+    """Content (true) or boilerplate, by minimum cut over adjacency and DOM proximity.
+
+    Blocks next to each other are tied, the more so the more open tags they share;
+    and a block is tied to the last one under the same parent, however much of
+    another branch lies in between.
+    """
+    content, boiler, edges, last = [], [], [], {}
     for i, (kind, text, path, linked) in enumerate(parts):
         n = len(text)
         words = len(text.split())
@@ -358,7 +363,12 @@ def is_content(parts: list[tuple[str, str, tuple, int]]) -> list[bool]:
         content.append(c)
         boiler.append(b)
         if i:
-            edges.append((i - 1, i, 0.15 + (0.15 if parts[i - 1][2] == path else 0.0)))
+            before = parts[i - 1][2]
+            shared = next((k for k, (x, y) in enumerate(zip(before, path, strict=False)) if x != y), min(len(before), len(path)))
+            edges.append((i - 1, i, 0.15 + 0.15 * (shared + 1) / (max(len(before), len(path)) + 1)))
+            if last.get(path, i - 1) != i - 1:
+                edges.append((last[path], i, 0.15))
+        last[path] = i
     return min_cut(content, boiler, edges)
 
 
