@@ -36,8 +36,11 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +70,7 @@ _WORDY = re.compile(r"\w")
 _CORE = re.compile(r"[\w.]*\w")
 _FILE = re.compile(r"\w+\.\w{2,4}\b")
 _NUMBER = re.compile(r"[\d.,:]+")
-_ITEM_HEAD = re.compile(r"\(?\d{1,3}")
+_ITEM_HEAD = re.compile(r"\s*\(?\d{1,3}\s*")
 _SCRIPTS = ((0x0400, 0x052F, "cyrl"), (0x0600, 0x06FF, "arab"), (0x0900, 0x097F, "deva"), (0x0E00, 0x0E7F, "thai"), (0x3040, 0x30FF, "jpan"), (0x4E00, 0x9FFF, "hani"), (0xAC00, 0xD7AF, "hang"))
 _NOT_LATIN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in _SCRIPTS) + "]")
 
@@ -79,7 +82,7 @@ class Model:
     starters: dict[str, set[str]] = field(default_factory=dict)  # language -> capitalised words
     bound: dict[str, set[tuple[str, str]]] = field(default_factory=dict)  # language -> (type, next word) that go together across a period
     _votes: tuple | None = None
-    _seen: dict[str, tuple] = field(default_factory=dict)  # what is known of tokens met lately
+    _known: frozenset[str] | None = None
 
     def votes(self) -> tuple[list[str], dict[str, list[tuple[int, float]]]]:
         """The languages, and per frequent word how much it speaks for each of them beyond a word unknown to all."""
@@ -91,15 +94,10 @@ class Model:
             self._votes = names, words
         return self._votes
 
-    def votes_of(self, token: str) -> tuple:
-        """The votes of all words of a token."""
-        v = self._seen.get(token)
-        if v is None:
-            if len(self._seen) > 200_000:
-                self._seen.clear()
-            words = self.votes()[1]
-            v = self._seen[token] = tuple(x for w in _ALPHA.findall(token.lower()) for x in words.get(w, ()))
-        return v
+    def known(self) -> frozenset[str]:
+        if self._known is None:
+            self._known = frozenset(self.votes()[1])
+        return self._known
 
 
 def paragraphs(text: str) -> Iterator[tuple[int, int]]:
@@ -116,19 +114,21 @@ def language(text: str, model: Model) -> str:
     if not text.isascii():
         other = _NOT_LATIN.findall(text)
         if other and len(other) > 3 * sum(not _IDENT.search(w) for w in _LATIN.findall(text)):
-            seen = Counter(name for c, n in Counter(other).items() for a, b, name in _SCRIPTS if a <= ord(c) <= b for _ in range(n))
+            seen: Counter = Counter()
+            for ch, n in Counter(other).items():
+                seen[next((name for a, b, name in _SCRIPTS if a <= ord(ch) <= b), "hani")] += n
             return "jpan" if seen["jpan"] else seen.most_common(1)[0][0]
-    names = model.votes()[0]
+    names, votes = model.votes()
     if not names:
         return "latn"
     total = [0.0] * len(names)
-    seen, votes_of = model._seen, model.votes_of
-    for t in text.split():
-        for i, x in seen[t] if t in seen else votes_of(t):
+    for w in model.known().intersection(text.lower().split()):  # every frequent word votes once
+        for i, x in votes[w]:
             total[i] += x
     return names[total.index(max(total))]
 
 
+@lru_cache(100_000)
 def _kind(token: str) -> str:
     """How a token after a mark begins: lower, upper, number, name (an identifier), caseless or none."""
     t = token.lstrip(OPENERS + "-–—")
@@ -145,6 +145,7 @@ def _kind(token: str) -> str:
     return "lower" if t[0].islower() else "upper" if t[0].isupper() else "caseless"
 
 
+@lru_cache(100_000)
 def _word(token: str) -> str:
     m = _ALPHA.search(token.lstrip(OPENERS))
     return m.group(0) if m else ""
@@ -182,7 +183,11 @@ def _enclosed(p: str) -> list[tuple[int, int]]:
 
 def _items(p: str) -> list[int]:
     """Offsets of the lines of a paragraph that begin a list item."""
-    starts = [0] + [m.end() for m in re.finditer(r"\r?\n", p)]
+    starts = [0]
+    at = p.find("\n")
+    while at >= 0:
+        starts.append(at + 1)
+        at = p.find("\n", at + 1)
     found, last, bullets = [], None, 0
     for k, a in enumerate(starts):
         m = _ITEM.match(p, a)
@@ -277,27 +282,31 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
         unit, k, heads = 0, 0, {i: _ITEM.match(p, i).end() for i in items}
         breaks = iter(items + [len(p) + 1])
         item = next(breaks)
+        visible = _VISIBLE.search(p).start()
         for m in cand:
-            while item <= m.start():
+            at, end, marks = m.start(), m.end(), m.group(0)
+            while item <= at:
                 if item > unit:
                     cuts.append(item)
-                    unit = item
+                    unit, visible = item, _VISIBLE.search(p, item).start()
                 item = next(breaks)
-            while k < len(inside) and inside[k][1] < m.start():
+            while k < len(inside) and inside[k][1] < at:
                 k += 1
-            if k < len(inside) and inside[k][0] < m.start() and inside[k][1] >= m.end():
+            if k < len(inside) and inside[k][0] < at and inside[k][1] >= end:
                 continue
-            if heads and m.start() < heads.get(unit, 0):  # the mark of an item's number
+            if heads and at < heads.get(unit, 0):  # the mark of an item's number
                 continue
-            if m.group(0) and not _WORDY.search(p, unit, m.start()):
+            if marks and not _WORDY.search(p, unit, at):
                 continue
-            if unit == 0 and m.group(0) == "." and _ITEM_HEAD.fullmatch(p[: m.start()].strip()):  # a heading's number
+            if unit == 0 and marks == "." and _ITEM_HEAD.fullmatch(p, 0, at):  # a heading's number
                 continue
-            if not m.group(0) or _is_end(p, m, lang, model, _VISIBLE.search(p, unit).start()):
-                if solid <= m.end() < len(p):
+            if not marks or _is_end(p, m, lang, model, visible):
+                if solid <= end < len(p):
                     continue
-                cuts.append(m.end())
-                unit = m.end()
+                cuts.append(end)
+                unit = end
+                v = _VISIBLE.search(p, unit)
+                visible = v.start() if v else len(p)
         cuts += [i for i in [item, *breaks] if unit < i < len(p)]
         at = 0
         for c in [*cuts, len(p)]:
@@ -390,33 +399,34 @@ def learn(texts: DataFrame, top: int = 300, abbreviation: float = 0.3, starter:
                 continue
             c[lang, "token"].update(tokens)
             c[lang, "head"][tokens[0]] += 1
-            follow = c[lang, "follow"]
-            for i, t in enumerate(tokens[:-1]):
-                if t[-1] in ".!?":
-                    follow[t, tokens[i + 1]] += 1
+            c[lang, "follow"].update((t, tokens[i + 1]) for i, t in enumerate(tokens[:-1]) if t.endswith((".", "!", "?")))
 
     def digest(c: dict) -> Counter:
         """Types out of tokens: each different token is looked at once."""
         out: Counter = Counter()
         for lang, kind, t, nxt, n in ((lang, kind, *(key if kind == "follow" else (key, "")), n) for (lang, kind), keys in c.items() for key, n in keys.items()):
+            named = _IDENT.search(t) is not None
+            if named and kind == "token":  # most different tokens are names
+                out[lang, "name", "", ""] += n
+                continue
             core = t.strip(OPENERS + CLOSERS + ",;:")
             word = core.rstrip(".!?…")
             after = t[t.find(core) + len(word) :] if core else ""
             if kind == "head":
-                if core[:1].isupper() and not _IDENT.search(core):
+                if core[:1].isupper() and not named:
                     out[lang, "start", _word(core), ""] += n
                 continue
-            if kind == "follow" and (after != "." or not word or _IDENT.search(word)) and not _NUMBER.fullmatch(word) and _kind(nxt) == "upper":  # an undoubted end
+            if kind == "follow" and (after != "." or not word or named) and not _NUMBER.fullmatch(word) and _kind(nxt) == "upper":  # an undoubted end
                 if "." not in after or after == ".":
                     out[lang, "start", _word(nxt), ""] += n
                 continue
-            if kind == "token" and core[:1].isupper() and not _IDENT.search(word):
+            if kind == "token" and core[:1].isupper():
                 out[lang, "any", _word(core), ""] += n
-            if kind == "token" and (not _ALPHA.fullmatch(word) or _IDENT.search(word)):
+            if kind == "token" and not _ALPHA.fullmatch(word):
                 out[lang, "name", "", ""] += n
             if kind == "follow" and after == "." and word and word[-1].isdigit() and _NUMBER.fullmatch(word) and _kind(nxt) == "upper":
                 out[lang, "pair", "0", _word(nxt)] += n
-            if not word or not _ALPHA.fullmatch(word) or _IDENT.search(word):
+            if named or not word or not _ALPHA.fullmatch(word):
                 continue
             low = word.lower()
             if low == word.upper():  # scripts without case abbreviate otherwise
@@ -501,13 +511,15 @@ def _log_share(k: float, n: float, p: float) -> float:
 def split_sentences(texts: DataFrame, model: Model) -> DataFrame:
     """``(id, start_char, end_char)`` of ``texts(id, text)``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, a, b) for i, t in zip(pdf["id"], pdf["text"], strict=True) for a, b in units(t, model)]
-            yield pd.DataFrame(rows, columns=["id", "start_char", "end_char"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [units(t, model) for t in batch.column("text").to_pylist()]
+            flat = np.fromiter((x for u in found for ab in u for x in ab), np.int32).reshape(-1, 2)
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), [len(u) for u in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["id", "start_char", "end_char"])
 
     rows = texts.filter("id is not null and text is not null").select(F.col("id").cast("long").alias("id"), "text")
-    return rows.mapInPandas(run, "id long, start_char int, end_char int")
+    return rows.mapInArrow(run, "id long, start_char int, end_char int")
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
