@@ -246,7 +246,9 @@ def near_duplicates(df: DataFrame, id_col: str, fields: list[str], settings: Set
     small = copies.count() <= s.broadcast_rows
     marked = texts.join(F.broadcast(copies) if small else copies, "id", "left")
     rows = _bands(marked, n, [f"s{i}" for i in range(n)], s)
-    sorted_rows = rows.repartition(parallelism(spark), "key").sortWithinPartitions("key")
+    # a task sorts at most about 64 MB of band values, so their number grows with the input
+    tasks = max(parallelism(spark), -(-one.count() * s.bands * 16 // (64 << 20)))
+    sorted_rows = rows.repartition(tasks, "key").sortWithinPartitions("key")
     out = scratch.write(sorted_rows.mapInArrow(_pairs_in_buckets(s.block), "a long, b long, field int, kind int, key long").groupBy("field", "a", "b", "kind", "key").agg(F.count("*").alias("n")))
     pairs = out.filter("kind = 0").select("field", "a", "b", "n")
     hot = out.filter("kind = 1").select("field", "a", "b", "key")
@@ -321,3 +323,8 @@ n as (select field_name, id, count(*) as n from r group by all),
 c as (select a.field_name, a.id as id_a, b.id as id_b, count(*) as c from r a join r b on a.field_name = b.field_name and a.run = b.run and a.id < b.id group by all)
 select c.field_name, id_a, id_b from c join n x on x.field_name = c.field_name and x.id = id_a join n y on y.field_name = c.field_name and y.id = id_b where c / (x.n + y.n - c) >= 0.6""",
 }
+SQL["p7_groups"] = f"""with recursive found as ({SQL["p7_found"]}),
+e as (select field_name, id_a as a, id_b as b from found union all select field_name, id_b, id_a from found),
+reach as (select distinct field_name, a as id, a as r from e union select reach.field_name, reach.id, e.b from reach join e on e.field_name = reach.field_name and e.a = reach.r),
+links as (select field_name, a as id, count(*) as n_links from e group by all)
+select field_name, id, min(r) as group_id, n_links from reach join links using (field_name, id) group by field_name, id, n_links"""
