@@ -59,7 +59,8 @@ QUOTATIVE = "とっをはがにのもで、，,"
 
 _QUOTE = re.compile("[" + re.escape('"' + "".join(PAIRS) + "".join(PAIRS.values())) + "]")
 _BLANK = re.compile(r"\r?\n[^\S\n]*(?:\r?\n[^\S\n]*)+|\r[^\S\n\r]*\r")
-_CAND = re.compile(r"[" + re.escape(MARKS) + r"]+(?:[\s ]?[»]|[" + re.escape(CLOSERS) + r"])*")
+#: Marks that may end a sentence; those right before a small letter or digit, as inside names and numbers, never do.
+_CAND = re.compile(r"(?![.!?…]+[a-z0-9_])[" + re.escape(MARKS) + r"]+(?:[\s ]?[»]|[" + re.escape(CLOSERS) + r"])*")
 _ITEM = re.compile(r"[^\S\n]*(?:([-*•–+·▪◦])|\(?(\d{1,3}|[a-z])[.)])[^\S\n]+")
 _TOKEN = re.compile(r"[^\s]+")
 _IDENT = re.compile(r"[_\d]|[a-zа-я][A-ZА-Я]|[A-Z][a-z]+[A-Z]")
