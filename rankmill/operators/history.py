@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankmill.functions.text import tokenize
+from rankmill.functions.text import term_bag
 
 ROLES = ("user", "assistant")
 #: Declared columns of the two tables.
@@ -31,7 +31,7 @@ def fit_history(messages: DataFrame, budget: int | Column, cost: Column | None =
     anything.  Only those are ranked, limited before the shuffle, so a
     conversation with very many messages never meets in one task.
     """
-    c = cost if cost is not None else F.size(tokenize("content"))
+    c = cost if cost is not None else F.size(term_bag("content"))
     newest = [F.desc("created_at"), F.desc("id")]
     w = Window.partitionBy("conversation_id").orderBy(*newest)
     running = F.sum(cost_name).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))

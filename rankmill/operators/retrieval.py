@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankmill.functions.text import term_bag
-from rankmill.session import Scratch
+from rankmill.session import Scratch, parallelism
 
 #: Rows up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -111,7 +111,9 @@ def search_bm25(index: BM25Index, queries: DataFrame, k: int = 100, mode: str =
     postings = _weigh(index.tf.join(side(wanted), "term"), index).select("term", "doc_id", "weight")
 
     def scores(postings: DataFrame, terms: DataFrame) -> DataFrame:
-        hits = postings.join(side(terms.select("query_id", "term", "times")), "term")
+        # postings are put by document before they meet broadcast queries, so a document's hits are added up where they arise and only local top lists are shuffled
+        near = postings.repartition(parallelism(queries.sparkSession), "doc_id") if few else postings
+        hits = near.join(side(terms.select("query_id", "term", "times")), "term")
         return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("weight")).alias("score"))
 
     if (wanted.join(q, "term").agg(F.sum("df")).first()[0] or 0) <= direct:

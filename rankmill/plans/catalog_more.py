@@ -263,7 +263,7 @@ def history_window(spark, d):
     k = load(spark, d, "conversations").filter("id is not null").select(F.col("id").alias("conversation_id"), history.context_budget(F.col("n_ctx"), F.col("max_tokens"), 9).alias("budget")).distinct()
     rows = c._messages(spark, d).join(k, "conversation_id")
     line = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.col("content"))
-    return history.fit_history(rows, F.col("budget"), F.size(tx.tokenize(line)) * 40).select("conversation_id", "id", "running")
+    return history.fit_history(rows, F.col("budget"), F.size(tx.term_bag(line)) * 40).select("conversation_id", "id", "running")
 
 
 _KNOWN = "conversation_id in (select id from conversations where id is not null)"
