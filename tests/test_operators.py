@@ -243,3 +243,29 @@ def test_ltr_validates_on_all_queries(spark):
     for r in ltr.tune(train, valid, n=2, queries=10).collect():
         want = ltr.fit(few, b, ltr.configurations(2)[r["config_id"]])
         assert (r["n_trees"], r["ndcg"]) == (len(want.trees), round(want.best_ndcg, 6))
+
+
+def test_search_leaves_final_lists_only(spark):
+    """Many queries: no list of hits or of local lists is shuffled, and both searches agree with brute force over several blocks and slices."""
+    rng = np.random.default_rng(8)
+    docs = [(i, " ".join(f"w{chr(97 + j)}" for j in rng.integers(0, 20, rng.integers(0, 9)))) for i in range(300)]
+    queries = [(i, " ".join(f"w{chr(97 + j)}" for j in rng.integers(0, 20, 3))) for i in range(2100)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(queries, "query_id long, query_text string")
+    index = retrieval.build_bm25(d)
+    found = retrieval.search_bm25(index, q, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # terms of the queries and of the index; hits are not added up in a shuffle
+    weights = {(r["term"], r["doc_id"]): r["weight"] for r in index.postings().collect()}
+    want = set()
+    for i, text in queries:
+        s = {j: round(sum(weights.get((w, j), 0.0) for w in text.split()), 6) for j, t in docs if set(text.split()) & set(t.split())}
+        want |= {(i, j, n + 1) for n, j in enumerate(sorted(s, key=lambda j: (-s[j], j))[:4])}
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in found.collect()} == want
+    encode = retrieval.hash_embed(16)
+    v, m = (x.select(k, encode(c).alias("embedding")) for x, k, c in ((d, "doc_id", "text"), (q, "query_id", "query_text")))
+    a, b = {r[0]: np.array(r[1]) for r in v.collect()}, {r[0]: np.array(r[1]) for r in m.collect()}
+    ids = np.array(sorted(a))
+    dots = {i: np.round(np.stack([a[j] for j in ids]) @ x, 6) + 0.0 for i, x in b.items()}
+    want = {(i, int(ids[j]), n + 1) for i, s in dots.items() for n, j in enumerate(np.lexsort((ids, -s))[:4])}
+    for size in (64, 16 << 20):
+        assert {(r["query_id"], r["doc_id"], r["rank"]) for r in retrieval.search_dense(v, m, 4, chunk_bytes=size * 128).collect()} == want
