@@ -269,3 +269,24 @@ def test_search_leaves_final_lists_only(spark):
     want = {(i, int(ids[j]), n + 1) for i, s in dots.items() for n, j in enumerate(np.lexsort((ids, -s))[:4])}
     for size in (64, 16 << 20):
         assert {(r["query_id"], r["doc_id"], r["rank"]) for r in retrieval.search_dense(v, m, 4, chunk_bytes=size * 128).collect()} == want
+
+
+def test_ltr_trains_on_all_queries(spark):
+    """Trees grown in parts are those of a single machine over all training queries, with missing values."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for q in range(90):
+        x = rng.normal(size=(12, 5))
+        s = x[:, 0] + rng.normal(size=12)
+        x[rng.random(x.shape) < 0.2] = np.nan
+        rows.append(pd.DataFrame(x, columns=ltr.FEATURES).assign(query_id=q, doc_id=range(12), label=np.select([s > 1.5, s > 0.8], [3, 1], 0)))
+    a, b = pd.concat(rows[:60]), pd.concat(rows[60:])
+    train, valid = (spark.createDataFrame(x).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ltr.FEATURES], "query_id", "doc_id", "label") for x in (a, b))
+    p = ltr.Params(min_rows=5, rounds=10, patience=10)
+    want, got = ltr.fit(a, b, p), ltr.train(train, valid, p)
+    assert got.trees == want.trees and got.importance == want.importance
+    for r in ltr.tune(train, valid, n=3).collect():
+        want = ltr.fit(a, b, ltr.configurations(3)[r["config_id"]])
+        assert (r["n_trees"], r["ndcg"]) == (len(want.trees), round(want.best_ndcg, 6))
+    edges = ltr._quantiles([c[~np.isnan(c)] for c in a[ltr.FEATURES].to_numpy().T], np.linspace(0, 1, 9)[1:-1], lambda x: x)
+    assert np.allclose(edges, [np.nanquantile(a[c], np.linspace(0, 1, 9)[1:-1]) for c in ltr.FEATURES], atol=1e-12)
