@@ -290,3 +290,41 @@ def test_ltr_trains_on_all_queries(spark):
         assert (r["n_trees"], r["ndcg"]) == (len(want.trees), round(want.best_ndcg, 6))
     edges = ltr._quantiles([c[~np.isnan(c)] for c in a[ltr.FEATURES].to_numpy().T], np.linspace(0, 1, 9)[1:-1], lambda x: x)
     assert np.allclose(edges, [np.nanquantile(a[c], np.linspace(0, 1, 9)[1:-1]) for c in ltr.FEATURES], atol=1e-12)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_come_from_the_index(spark, folder):
+    """The index's counts give the encoder's vectors, and stored vectors are searched without a copy."""
+    from rankmill import session
+    from rankmill.plans import stores
+
+    docs = spark.createDataFrame([(1, "readCsv read_csv pandas"), (2, None), (3, "a b a"), (4, "1 2")], "doc_id long, text string").repartition(2)
+    want = {r[0]: r[1] for r in docs.select("doc_id", retrieval.hash_embed(16)("text")).collect()}
+    assert {r[0]: r[1] for r in retrieval.hash_vectors(retrieval.build_bm25(docs), 16).collect()} == want
+    path = stores.corpus_vectors(spark, folder)
+    made = len(session._made)
+    q = spark.createDataFrame([(i, "pandas read csv") for i in range(3)], "query_id long, query_text string").select("query_id", stores.encoder()("query_text").alias("embedding"))
+    got = [tuple(r) for r in retrieval.search_dense(path, q, 5).orderBy("query_id", "rank").collect()]
+    assert len(session._made) == made
+    assert got == [tuple(r) for r in retrieval.search_dense(retrieval.load_vectors(spark, path), q, 5).orderBy("query_id", "rank").collect()]
+
+
+def test_dense_decides_in_double_precision(spark):
+    """Scores that single precision can't tell apart keep their order, and a query's rows under one id share a list."""
+    docs = spark.createDataFrame([(i, [100.0, i * 1e-5]) for i in range(50)] + [(99, [float("nan"), 1.0])], "doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (1, [1.0, -1.0])] + [(i, [0.0, 1.0]) for i in range(2, 3000)], "query_id long, embedding array<double>")
+    rows = retrieval.search_dense(docs, queries, 3).filter("query_id <= 2").orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["doc_id"], r["rank"]) for r in rows] == [(1, 49, 1), (1, 48, 2), (1, 47, 3), (2, 49, 1), (2, 48, 2), (2, 47, 3)]
+
+
+def test_features_meet_in_one_shuffle(spark):
+    a = spark.createDataFrame([(1, 5, 3.0, 1), (1, None, 2.0, 2)], LIST)
+    b = spark.createDataFrame([(1, 5, 0.5, 2), (2, 6, 0.9, 1), (1, None, 0.4, 3)], LIST)
+    qrels = spark.createDataFrame([(1, 5, 3), (1, 9, 2), (1, None, 1)], "query_id long, doc_id long, grade int")
+    f = ltr.build_features(a, b, qrels)
+    assert _plan(f).count("Repartition") == 1 and "Join" not in _plan(f)
+    got = sorted((r["query_id"], r["doc_id"] or 0, r["bm25_score"] or 0, r["dense_rank"] or 0, r["label"]) for r in f.collect())
+    assert got == [(1, 0, 0, 3.0, 0), (1, 0, 2.0, 0, 0), (1, 5, 3.0, 2.0, 3), (2, 6, 0, 1.0, 0)]
