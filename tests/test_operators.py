@@ -328,3 +328,9 @@ def test_features_meet_in_one_shuffle(spark):
     assert _plan(f).count("Repartition") == 1 and "Join" not in _plan(f)
     got = sorted((r["query_id"], r["doc_id"] or 0, r["bm25_score"] or 0, r["dense_rank"] or 0, r["label"]) for r in f.collect())
     assert got == [(1, 0, 0, 3.0, 0), (1, 0, 2.0, 0, 0), (1, 5, 3.0, 2.0, 3), (2, 6, 0, 1.0, 0)]
+
+
+def test_searches_are_made_once(spark, folder):
+    from rankmill.plans import catalog
+
+    assert "MapInArrow" not in _plan(catalog.failure_examples(spark, folder))
