@@ -75,12 +75,13 @@ def judge_prompts(claims: DataFrame, sources: DataFrame, corpus: DataFrame, inst
     gives the documents that the numbers stand for.
     """
     docs = corpus.groupBy("doc_id").agg(F.min("title").alias("title"), F.min("answer_body").alias("body"))
-    refs = claims.join(sources.select("query_id", "top_k_doc_ids"), "query_id").withColumn("ref", F.explode("cited_refs"))
-    refs = refs.withColumn("doc_id", F.expr("try_element_at(top_k_doc_ids, ref)")).join(docs, "doc_id", "left")
-    block = F.concat(F.lit("["), F.col("ref").cast("string"), F.lit("] "), F.coalesce("title", F.lit("?")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", block.alias("b")))), lambda r: r["b"]), "\n\n")
-    per = refs.groupBy("query_id", "claim_idx", "claim").agg(text.alias("context"))
-    return per.select("query_id", "claim_idx", "claim", F.concat(F.lit(instruction + "\n\n"), F.col("context"), F.lit("\n\nClaim: "), F.col("claim")).alias("prompt"))
+    top = sources.select("query_id", F.posexplode_outer("top_k_doc_ids").alias("i", "doc_id")).join(docs, "doc_id", "left")
+    block = F.concat(F.lit("] "), F.coalesce("title", F.lit("?")), F.lit("\n\n"), F.coalesce("body", F.lit("")))
+    top = top.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct(F.col("i") + 1, block)))).alias("blocks"))
+    # a query's references are put together once, not for each claim
+    refs = claims.join(top, "query_id").filter(F.size("cited_refs") > 0)
+    text = F.array_join(F.transform(F.array_sort("cited_refs"), lambda r: F.concat(F.lit("["), r.cast("string"), F.coalesce(F.col("blocks")[r], F.lit("] ?\n\n")))), "\n\n")
+    return refs.select("query_id", "claim_idx", "claim", F.concat(F.lit(instruction + "\n\n"), text, F.lit("\n\nClaim: "), F.col("claim")).alias("prompt"))
 
 
 def judge(claims: DataFrame, sources: DataFrame, corpus: DataFrame, llm: LLM) -> DataFrame:

@@ -44,7 +44,7 @@ def context_blocks(docs: Column, gap: str = "\n\n") -> Column:
 
 def build_prompts(queries: DataFrame, ranked: DataFrame, corpus: DataFrame, k: int = 4, instruction: str = "Use only the numbered references.") -> DataFrame:
     """``(query_id, n_refs, prompt)``: the instruction, the question, and the first ``k`` documents in rank order."""
-    docs = corpus.groupBy("doc_id").agg(F.min_by(F.struct("title", F.col("answer_body").alias("body")), F.struct("title", "answer_body")).alias("d"))
+    docs = corpus.groupBy("doc_id").agg(F.min(F.struct("title", F.col("answer_body").alias("body"))).alias("d"))
     top = ranked.filter(F.col("rank") <= k).join(docs, "doc_id").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "d"))), lambda x: x["d"]).alias("docs"))
     prompt = F.concat(F.lit(instruction + "\n\nQuestion: "), F.coalesce("query_text", F.lit("")), F.lit("\n\n"), context_blocks(F.col("docs")))
     return queries.join(top, "query_id").select("query_id", F.size("docs").alias("n_refs"), prompt.alias("prompt"))

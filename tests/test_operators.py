@@ -334,3 +334,16 @@ def test_searches_are_made_once(spark, folder):
     from rankmill.plans import catalog
 
     assert "MapInArrow" not in _plan(catalog.failure_examples(spark, folder))
+
+
+def test_texts_are_not_multiplied(spark):
+    """References are put together per query, not per claim; documents are carried once to the prompts."""
+    from rankmill.operators import adaptive
+
+    claims = spark.createDataFrame([(1, 1, "c", [1, 2])], "query_id long, claim_idx int, claim string, cited_refs array<int>")
+    src, corpus = spark.createDataFrame([(1, [7])], "query_id long, top_k_doc_ids array<long>"), spark.createDataFrame([(7, "T", "B"), (7, None, "A")], "doc_id long, title string, answer_body string")
+    p = adaptive.judge_prompts(claims, src, corpus)
+    assert "explode(cited_refs" not in _plan(p) and "[1] T\n\nA\n\n[2] ?\n\n\n\nClaim: c" in p.first()["prompt"]
+    q, ranked = spark.createDataFrame([(1, "why")], "query_id long, query_text string"), spark.createDataFrame([(1, 7, 0.9, 1)], LIST)
+    p = rag.build_prompts(q, ranked, corpus)
+    assert "min_by" not in _plan(p) and p.first()["prompt"].endswith("[1] ?\n\nA")
