@@ -347,3 +347,10 @@ def test_texts_are_not_multiplied(spark):
     q, ranked = spark.createDataFrame([(1, "why")], "query_id long, query_text string"), spark.createDataFrame([(1, 7, 0.9, 1)], LIST)
     p = rag.build_prompts(q, ranked, corpus)
     assert "min_by" not in _plan(p) and p.first()["prompt"].endswith("[1] ?\n\nA")
+
+
+def test_training_features_are_not_stored(spark, folder):
+    from rankmill.plans import catalog
+
+    train, valid = catalog._train_valid(spark, folder)
+    assert "MapInArrow" in _plan(train) and "MapInArrow" not in _plan(valid)
