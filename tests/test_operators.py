@@ -354,3 +354,10 @@ def test_training_features_are_not_stored(spark, folder):
 
     train, valid = catalog._train_valid(spark, folder)
     assert "MapInArrow" in _plan(train) and "MapInArrow" not in _plan(valid)
+
+
+def test_flow_reads_what_it_uses(spark, folder):
+    """Four documents and the best cosine: longer lists are not kept."""
+    from rankmill.plans import catalog
+
+    assert "rankmill-flow" not in " ".join(catalog.adaptive_flow_low(spark, folder).inputFiles())
