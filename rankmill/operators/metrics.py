@@ -17,27 +17,41 @@ def gain(grade: Column, rank: Column) -> Column:
 def per_query(ranked: DataFrame, qrels: DataFrame, queries: DataFrame | None = None, at: int = 10, deep: int = 100) -> DataFrame:
     """``(query_id, ndcg, mrr, recall)`` of every judged query."""
     judged = qrels if queries is None else qrels.join(queries.select("query_id").distinct(), "query_id", "left_semi")
-    w = Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")
-    ideal = (
-        judged.withColumn("r", F.row_number().over(w)).groupBy("query_id")
+    hits = ranked.filter(F.col("rank") <= max(at, deep)).join(judged, ["query_id", "doc_id"])
+    return _ideal(judged, ["query_id"], at).join(_reached(hits, ["query_id"], at, deep), "query_id", "left").select("query_id", *_measures())
+
+
+def _ideal(judged: DataFrame, by: list[str], at: int) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy(F.desc("grade"), "doc_id")
+    return (
+        judged.withColumn("r", F.row_number().over(w)).groupBy(*by)
         .agg(F.sum(F.when(F.col("r") <= at, gain(F.col("grade"), F.col("r")))).alias("ideal"), F.count_if(F.expr("grade >= 1")).alias("n_relevant"))
     )
-    hits = ranked.filter(F.col("rank") <= max(at, deep)).join(judged, ["query_id", "doc_id"]).groupBy("query_id").agg(
+
+
+def _reached(hits: DataFrame, by: list[str], at: int, deep: int) -> DataFrame:
+    return hits.groupBy(*by).agg(
         F.sum(F.when(F.col("rank") <= at, gain(F.col("grade"), F.col("rank")))).alias("dcg"),
         F.min(F.when((F.col("grade") >= 1) & (F.col("rank") <= at), F.col("rank"))).alias("first"),
         F.count_if((F.col("grade") >= 1) & (F.col("rank") <= deep)).alias("found"),
     )
+
+
+def _measures() -> list[Column]:
     zero = F.lit(0.0)
-    return ideal.join(hits, "query_id", "left").select(
-        "query_id", F.when(F.col("ideal") > 0, F.coalesce("dcg", zero) / F.col("ideal")).otherwise(zero).alias("ndcg"), F.coalesce(1.0 / F.col("first"), zero).alias("mrr"),
+    return [
+        F.when(F.col("ideal") > 0, F.coalesce("dcg", zero) / F.col("ideal")).otherwise(zero).alias("ndcg"), F.coalesce(1.0 / F.col("first"), zero).alias("mrr"),
         F.when(F.col("n_relevant") > 0, F.coalesce("found", F.lit(0)) / F.col("n_relevant")).otherwise(zero).alias("recall"),
-    )
+    ]
+
+
+def _means() -> list[Column]:
+    return [F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("recall"), F.count("ndcg").alias("n_queries")]
 
 
 def evaluate(ranked: DataFrame, qrels: DataFrame, queries: DataFrame | None = None, at: int = 10, deep: int = 100) -> DataFrame:
     """One row of means; NULLs if no query is judged."""
-    return per_query(ranked, qrels, queries, at, deep).agg(
-        F.round(F.avg("ndcg"), 6).alias("ndcg"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("n_queries"))
+    return per_query(ranked, qrels, queries, at, deep).agg(*_means())
 
 
 def compare(a: DataFrame, b: DataFrame, fail: float = 0.10, gap: float = 0.10) -> DataFrame:
@@ -68,6 +82,15 @@ def examples(compared: DataFrame, first_a: DataFrame, first_b: DataFrame, titles
     return top.select("bucket", "nth", "query_id", F.round("delta", 6).alias("delta"), "title_a", "title_b")
 
 
-def report(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, method: str, variant: str, split: str) -> DataFrame:
-    """The means of one method on one corpus variant and split, named."""
-    return evaluate(ranked, qrels, queries).select(F.lit(method).alias("method"), F.lit(variant).alias("variant"), F.lit(split).alias("split"), "ndcg", "mrr", "recall", "n_queries")
+def report(hits: DataFrame, qrels: DataFrame, queries: DataFrame, names: DataFrame, at: int = 10, deep: int = 100) -> DataFrame:
+    """The means of every method on every corpus variant and split, one row each: those of ``names(run, method, variant, split)``.
+
+    ``hits(run, method, query_id, rank, grade)`` are the ranks of relevant
+    documents, ``queries(split, query_id)`` the queries of each split.
+    """
+    judged = qrels.join(queries.select("split", "query_id").distinct(), "query_id")
+    base = _ideal(judged, ["split", "query_id"], at).join(F.broadcast(names), "split")  # a row per method, variant and split
+    keys = ["run", "method", "query_id"]
+    means = base.join(_reached(hits, keys, at, deep), keys, "left").select("run", "method", *_measures()).groupBy("run", "method").agg(*_means())
+    out = names.join(means, ["run", "method"], "left")
+    return out.select("method", "variant", "split", "ndcg", "mrr", "recall", F.coalesce("n_queries", F.lit(0)).alias("n_queries"))

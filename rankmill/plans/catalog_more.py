@@ -87,9 +87,9 @@ def hybrid_online(spark, d):
     """Both searches, features, a ranking model that was saved and loaded, the best four documents with their titles, and the best cosine."""
     to = Scratch(spark, "model").path + "/ranker"
     FIXED.save(spark, to)
-    ranked, dense = retrieval.search_hybrid(bm25_index(spark, d), corpus_vectors(spark, d), encoder(), c._val(spark, d), ltr.Model.load(spark, to))
-    top = dense.groupBy("query_id").agg(F.max("score").alias("top_cosine"))
-    return retrieval.with_documents(ranked, load(spark, d, "corpus")).join(top, "query_id").select("query_id", "doc_id", "rank", "score", "top_cosine", "title")
+    ranked = retrieval.search_hybrid(bm25_index(spark, d), corpus_vectors(spark, d), encoder(), c._val(spark, d), ltr.Model.load(spark, to))
+    ranked = ranked.filter("top_score is not null").withColumnRenamed("top_score", "top_cosine")
+    return retrieval.with_documents(ranked, load(spark, d, "corpus")).select("query_id", "doc_id", "rank", "score", "top_cosine", "title")
 
 
 VARIANTS, SPLITS, METHODS = ("a", "b"), ("val", "test"), ("bm25", "dense", "hybrid", "ltr")
@@ -110,15 +110,15 @@ def _report_sql() -> str:
 @query(_report_sql())
 def eval_report(spark, d):
     """Every method on every corpus variant and split."""
-    scratch, judged, out = Scratch(spark, "report"), c._qrels(spark, d), []
-    judged = scratch.write(judged)
+    judged, rows, names = Scratch(spark, "report").write(c._qrels(spark, d)), [], []
+    queries = load(spark, d, "splits").select("split", "query_id", "query_text")
     for v in VARIANTS:
         for split in SPLITS:
-            q = load(spark, d, "splits").filter(F.col("split") == split).select("query_id", "query_text")
-            a, b = scratch.write(c._bm25(spark, d, queries=q, variant=v)), scratch.write(c._vectors(spark, d, q, v))
-            lists = {"bm25": a, "dense": b, "hybrid": retrieval.fuse_rrf([a, b]), "ltr": ltr.rerank(ltr.build_features(a, b), FIXED)}
-            out += [metrics.report(lists[m], judged, q, m, v, split) for m in METHODS]
-    return reduce(DataFrame.unionByName, out)
+            q = queries.filter(F.col("split") == split)
+            rows.append(ltr.candidates(c._bm25(spark, d, queries=q, variant=v, packed=True), c._vectors(spark, d, q, v, packed=True), judged, run=len(rows)).rows)
+            names += [(len(rows) - 1, m, v, split) for m in METHODS]
+    hits = ltr.judged_ranks(ltr.Candidates(reduce(DataFrame.unionByName, rows)), FIXED)
+    return metrics.report(hits, judged, queries, spark.createDataFrame(names, "run int, method string, variant string, split string"))
 
 
 @query(c.SQL["rrf_sweep"].replace(" select 10 as k", ", sweep as (select 10 as k") + ") select * from sweep order by ndcg desc, k limit 1")
